@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import chat_format, host_quality, mixing, url_rules
+from terracell.llm import chat_format, host_quality, mixing, partenum, url_rules
 from terracell.llm.oracle import ORACLE_SQL
 from terracell.llm.shared import table
 
@@ -16,6 +16,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.quality(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op4_quality_rules, op7_source_mixing, op8_chat_format)
+    f.__name__: f for f in (op1_url_filters, op3_jaccard_join, op4_quality_rules, op7_source_mixing, op8_chat_format)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -43,12 +43,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a batch of whole texts fits a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def arrow_bytes(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Arrow batches of at most ``limit`` bytes, so that a batch of whole texts fits a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, limit)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
