@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import chat_format, host_quality, mixing, partenum, url_rules
+from terracell.llm import chat_format, host_quality, kn_lang, mixing, partenum, toxicity, url_rules
 from terracell.llm.oracle import ORACLE_SQL
 from terracell.llm.shared import table
 
@@ -24,6 +24,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = kn_lang.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return docs.select("doc_id", kn_lang.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"), F.col("_lang.rejected").alias("rejected"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_texts(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,7 +54,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_jaccard_join, op4_quality_rules, op7_source_mixing, op8_chat_format)
+    f.__name__: f for f in (op1_url_filters, op3_jaccard_join, op4_quality_rules, op5_language_id, op6_toxicity, op7_source_mixing, op8_chat_format)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

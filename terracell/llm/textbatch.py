@@ -6,12 +6,14 @@ A batch is handled as one run of UTF-8 bytes; nothing loops over words in Python
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _P, _PINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -133,3 +135,18 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
     return value[keep], np.searchsorted(row[keep], np.arange(w.n_rows + 1))
+
+
+def scorer(text: Column, of_slice: Callable[[pa.Array], pa.Array], kind: str) -> Column:
+    """``of_slice`` as a column: a value of the type ``kind`` for each text.
+
+    Other columns stay in the JVM. The column is evaluated where it is named, once.
+    """
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            parts = [of_slice(part) for _, part in slices(texts)]
+            yield pa.concat_arrays(parts) if parts else of_slice(pa.array([], pa.large_string()))
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, returnType=kind).asNondeterministic()(text)
