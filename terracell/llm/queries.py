@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import chat_format, host_quality, kn_lang, mixing, partenum, toxicity, url_rules
+from terracell.llm import chat_format, embed_join, host_quality, kn_lang, license_scan, mixing, partenum, piece_nbest, toxicity, url_rules
 from terracell.llm.oracle import ORACLE_SQL
 from terracell.llm.shared import table
 
@@ -16,6 +16,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -53,8 +57,29 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(turns))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = piece_nbest.tokenise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = docs.select("doc_id", F.col("_pieces").alias("p"))
+    return found.select(
+        "doc_id", F.size("p.ids").cast("long").alias("n_pieces"), F.get("p.scores", F.lit(0)).alias("score"), F.size("p.scores").cast("long").alias("n_best"),
+        (F.get("p.scores", F.lit(0)) - F.element_at("p.scores", -1)).alias("margin"), F.sha2(F.array_join("p.ids", ","), 256).alias("ids_sha256"), F.col("p.exact").alias("exact"),
+    )
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_licenses").alias("h"))
+    return docs.select(
+        "doc_id", F.size("h").cast("long").alias("n_hits"), F.array_join(F.array_sort(F.array_distinct("h.family")), ",").alias("families"),
+        F.array_max("h.similarity").alias("similarity"), F.array_max("h.probability").alias("probability"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_jaccard_join, op4_quality_rules, op5_language_id, op6_toxicity, op7_source_mixing, op8_chat_format)
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_embedding_near_dedup, op3_jaccard_join, op4_quality_rules, op5_language_id,
+        op6_toxicity, op7_source_mixing, op8_chat_format, op9_sentencepiece, op10_license_scan,
+    )
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
