@@ -10,11 +10,12 @@ of the set's projections on those pairs of thirds. A set with no more than ``spa
 have an empty projection has an equal one that is not empty, so empty projections are signatures
 only for sets with more of them; such sets meet each other there.
 
-Sets that are equal become one class. Classes that share a signature are candidates: the least of
-each signature is compared with all others first; then those that this left in other components
-are compared with all they share a signature with. Comparisons read whole sets, so no link between
-different sets is missed and none is made up; pairs inside a component that already holds together
-are not listed.
+Sets that are equal become one class. Classes that share a signature are candidates. The class of
+each signature that shares most signatures is compared with all others first, which makes stars.
+Members that this left in other components than their star's center are then compared with those
+members of the star that :func:`remaining` can't tell apart from them. Comparisons read whole sets,
+so no link between different sets is missed and none is made up; pairs inside a component that
+already holds together are not listed.
 
 Defined results: null texts and texts without words have no shingles, no links, and are their own
 component; a text with fewer words than a shingle has all of them as one shingle; repeated rows
@@ -183,17 +184,69 @@ def _set_job(gram: int):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, gram: int, percent: int) -> DataFrame:
+def shingle_table(wanted: DataFrame, docs: DataFrame, classes: DataFrame, gram: int) -> DataFrame:
+    """``cls, shingles`` of the classes in ``wanted``."""
+    ids = materialise(wanted.join(classes, "cls").select(F.col("first").alias("doc_id")).distinct(), "asked")
+    texts = docs.join(ids, "doc_id", "left_semi").select("text")
+    return materialise(texts.mapInArrow(_set_job(gram), "cls long, shingles array<long>").dropDuplicates(["cls"]), "shingle-sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the class pairs ``a, b`` whose sets are similar."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = materialise(asked.join(classes, "cls").select(F.col("first").alias("doc_id")).distinct(), "asked")
-    texts = docs.join(wanted, "doc_id", "left_semi").select("text")
-    sets = materialise(texts.mapInArrow(_set_job(gram), "cls long, shingles array<long>").dropDuplicates(["cls"]), "shingle-sets")
     found = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return found.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def stars(shared: DataFrame) -> DataFrame:
+    """``a, b``: for each signature, its class that shares most signatures with others, and each other one."""
+    members = shared.select("sig", "cls").unionByName(shared.select("sig", F.col("center").alias("cls")).distinct())
+    weight = members.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
+    members = materialise(members.join(weight, "cls"), "jaccard-members")
+    best = members.groupBy("sig").agg(F.max(F.struct("w", "cls"))["cls"].alias("a"))
+    return members.join(best, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+
+
+def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that may be similar though stars left them in different components.
+
+    Members of a star are compared by what sets them apart from what most of them hold. A member
+    has ``a`` elements that this reference lacks and lacks ``r`` of it. A pair with at most ``k``
+    differences shares an added element (kind 0), or ``|r - r*| + a + a* <= k``. In that case, if
+    ``a + r > k``, both lack some same element, and ``r* > a*`` (kind 1); members with
+    ``a + r <= k`` that are apart from a center near to the reference are few, and are compared
+    with all that keep to the bound (kind 2).
+    """
+    roots = found.select(F.col("node").alias("cls"), "root")
+    rooted = first.join(roots.select(F.col("cls").alias("a"), F.col("root").alias("a_root")), "a", "left").join(roots.select(F.col("cls").alias("b"), F.col("root").alias("b_root")), "b", "left")
+    rooted = rooted.select("a", F.col("b").alias("cls"), F.coalesce("b_root", "b").alias("root"), (F.coalesce("b_root", "b") != F.coalesce("a_root", "a")).alias("apart"))
+    rooted = materialise(rooted, "jaccard-rooted")
+    groups = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("some")).where("n > 1 and some")
+    members = rooted.join(groups.select("a", "n"), "a").join(sets, "cls")
+    members = materialise(members, "jaccard-apart")
+    held = members.select("a", "n", F.explode("shingles").alias("g")).groupBy("a", "n", "g").agg(F.count(F.lit(1)).alias("c")).where("2 * c > n")
+    reference = held.groupBy("a").agg(F.collect_list("g").alias("most"))
+    m = members.join(reference, "a", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    size = F.size("shingles")
+    most_k = F.floor((100 - percent) * (size + F.floor(size * 100 / percent)) / (100 + percent)).cast("int")
+    m = m.select("a", "cls", "root", "apart", size.alias("size"), most_k.alias("k"), F.sort_array(F.array_except("shingles", "most")).alias("plus"), F.array_except("most", "shingles").alias("minus"))
+    m = m.withColumn("added", F.size("plus")).withColumn("lacking", F.size("minus"))
+    none = F.array().cast("array<struct<kind:int,g:bigint>>")
+    tokens = lambda kind, array: F.transform(array, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("g")))
+    few = F.when((F.col("added") <= F.col("k")) & (F.col("apart") | (F.col("lacking") > F.col("added"))), tokens(1, F.col("minus"))).otherwise(none)
+    near = F.when(F.col("added") <= F.col("k"), tokens(2, F.array(F.lit(0).cast("bigint")))).otherwise(none)
+    keyed = m.select("a", "cls", "root", "apart", "size", "k", "added", "lacking", F.explode(F.concat(tokens(0, F.slice("plus", F.lit(1), F.col("k") + 1)), few, near)).alias("t"))
+    keyed = materialise(keyed.select("a", "cls", "root", "apart", "size", "k", "added", "lacking", "t.kind", "t.g"), "jaccard-tokens")
+    close = F.col("added") + F.col("lacking") <= F.col("k")
+    x = keyed.where(F.col("apart") & ((F.col("kind") == 0) | (close == (F.col("kind") == 2))))
+    x = x.select("a", "kind", "g", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "added", "lacking")))
+    k = F.floor((100 - percent) * (F.col("x_size") + F.col("size")) / (100 + percent))
+    fits = (F.col("kind") == 0) | (F.abs(F.col("x_lacking") - F.col("lacking")) + F.col("x_added") + F.col("added") <= k)
+    sizes = (100 * F.col("x_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("x_size"))
+    pairs = x.join(keyed, ["a", "kind", "g"]).where((F.col("x_root") != F.col("root")) & sizes & fits)
+    return pairs.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b")).distinct()
+
+
 def jaccard_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the least doc_id that links reach."""
     docs = docs.select("doc_id", "text")
@@ -205,18 +258,13 @@ def jaccard_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) ->
     classes = classes.select("cls", "first")
     sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent), "sig long, cls long").repartition("sig").sortWithinPartitions("sig", "cls")
     shared = materialise(sigs.mapInArrow(_shared, "sig long, center long, cls long"), "jaccard-shared")
-    first = materialise(shared.select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct(), "jaccard-stars")
-    links = materialise(verify(first, docs, classes, gram, percent), "jaccard-links")
+    first = materialise(stars(shared), "jaccard-stars")
+    sets = shingle_table(first.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, classes, gram)
+    links = materialise(verify(first, sets, percent), "jaccard-links")
     found = components(links)
-    # What the stars left apart: members in another component than the least class of their signature.
-    root = lambda rows, c: rows.join(found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    rooted = materialise(root(root(shared, "cls"), "center"), "jaccard-rooted")
-    apart = rooted.where("cls_root <> center_root").select("sig", F.col("cls").alias("x"), F.col("cls_root").alias("x_root"))
-    rest = apart.join(rooted.select("sig", F.col("cls").alias("y"), F.col("cls_root").alias("y_root")), "sig").where("x <> y and x_root <> y_root")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = materialise(rest, "jaccard-rest")
+    rest = materialise(remaining(first, found, sets, percent), "jaccard-rest")
     if not rest.isEmpty():
-        found = components(links.unionByName(materialise(verify(rest, docs, classes, gram, percent), "jaccard-more")))
+        found = components(links.unionByName(verify(rest, sets, percent)))
     placed = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = materialise(placed.join(least, "root").select("cls", "component_id"), "jaccard-components")

@@ -54,6 +54,28 @@ def near_copies(seed=3):
     return rows
 
 
+def family(seed=9, n=140, copies=150):
+    """Copies of one text with few to many edits: a core that links and many that nearly do."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(n)]
+    rows = []
+    for i in range(copies):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 12])):
+            at = rng.randrange(len(copy))
+            kind = rng.random()
+            edit = [f"x{rng.randrange(10**6)}"] if kind < 0.6 else [] if kind < 0.8 else [copy[at], "y"]
+            copy[at : at + rng.choice([1, 1, 9])] = edit
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_one_family_of_near_copies(spark):
+    for seed in (9, 10, 11):
+        rows = family(seed)
+        assert run(spark, rows) == brute(rows)
+
+
 def run(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     return {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.jaccard_groups(df).collect()}
