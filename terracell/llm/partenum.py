@@ -32,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
@@ -39,6 +40,8 @@ from terracell.llm.components import components
 from terracell.llm.shared import arrow_bytes, materialise
 
 GRAM, PERCENT, RATIO = 4, 85, 1.4
+#: Bits and hashes of the Bloom filter, bins of a sketch.
+BLOOM_BITS, BLOOM_HASHES, SKETCH = 1 << 23, 3, 512
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -174,26 +177,81 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(centers[keep]), pa.array(cls[keep])], ["sig", "center", "cls"])
 
 
-def _set_job(gram: int):
+def _places(cls: np.ndarray) -> np.ndarray:
+    """The bits of classes in the filter, ``(BLOOM_HASHES, classes)``."""
+    h = textbatch.mix(cls.view(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    return np.stack([(h >> np.uint64(20 * k)) % np.uint64(BLOOM_BITS) for k in range(BLOOM_HASHES)]).astype(np.int64)
+
+
+def _bits_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = _places(np.asarray(batch.column("cls"))).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(at // 32), pa.array(np.left_shift(1, at % 32))], ["word", "bits"])
+
+
+def bloom(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of a fixed size over ``cls``. Its words are joined by bit; at most ``BLOOM_BITS / 32`` rows reach the driver."""
+    words = wanted.mapInArrow(_bits_job, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    out = np.zeros(BLOOM_BITS // 32, np.int64)
+    for r in words:
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def _set_job(gram: int, filter_words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = filter_words.value
         for _, value, bounds in _sets(batches, gram):
             cls, _ = _class_of(value, bounds)
-            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _long(value))
-            yield pa.RecordBatch.from_arrays([_long(cls), sets], ["cls", "shingles"])
+            at = _places(cls)
+            use = ((words[at // 32] >> (at % 32)) & 1).all(0) & (np.diff(bounds) > 0)
+            rows = np.flatnonzero(use)
+            if not len(rows):
+                continue
+            keep = np.repeat(use, np.diff(bounds))
+            ends = np.concatenate([[0], np.cumsum(np.diff(bounds)[rows])])
+            sketches = [np.minimum(np.bincount((value[bounds[r] : bounds[r + 1]] >> np.uint64(7)) % np.uint64(SKETCH), minlength=SKETCH), 127).astype(np.int8).tobytes() for r in rows]
+            sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _long(value[keep]))
+            yield pa.RecordBatch.from_arrays([_long(cls[rows]), pa.array(sketches, pa.binary()), sets], ["cls", "sketch", "shingles"])
 
     return run
 
 
-def shingle_table(wanted: DataFrame, docs: DataFrame, classes: DataFrame, gram: int) -> DataFrame:
-    """``cls, shingles`` of the classes in ``wanted``."""
-    ids = materialise(wanted.join(classes, "cls").select(F.col("first").alias("doc_id")).distinct(), "asked")
-    texts = docs.join(ids, "doc_id", "left_semi").select("text")
-    return materialise(texts.mapInArrow(_set_job(gram), "cls long, shingles array<long>").dropDuplicates(["cls"]), "shingle-sets")
+def shingle_table(wanted: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
+    """``cls, sketch, shingles`` of the classes in ``wanted``.
+
+    Texts stay where they are read: a Bloom filter of fixed size picks the sets that may be wanted,
+    and an exact join follows. A full filter lets all pass.
+    """
+    wanted = materialise(wanted, "wanted")
+    words = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
+    sets = docs.select("text").mapInArrow(_set_job(gram, words), "cls long, sketch binary, shingles array<long>")
+    return materialise(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "shingle-sets")
+
+
+def _sketch_job(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.int16) for c in ("p", "q"))
+            total = np.asarray(batch.column("m")) + np.asarray(batch.column("n"))
+            keep = np.abs(x - y).sum(1) * (100 + percent) <= (100 - percent) * total
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the class pairs ``a, b`` whose sets are similar."""
-    found = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    """Those of the class pairs ``a, b`` whose sets are similar.
+
+    A sketch counts a set's elements in ``SKETCH`` bins. The differences of two sketches are no more
+    than those of the sets, so only pairs whose sketches allow it are compared as sets.
+    """
+    side = lambda c, s, n: sets.select(F.col("cls").alias(c), F.col("sketch").alias(s), F.size("shingles").alias(n))
+    near = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").where(f"100 * m >= {percent} * n and 100 * n >= {percent} * m")
+    near = materialise(near.select("a", "b", "p", "q", "m", "n").mapInArrow(_sketch_job(percent), "a long, b long"), "jaccard-near")
+    found = near.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     return found.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -224,19 +282,26 @@ def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     groups = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("some")).where("n > 1 and some")
     members = rooted.join(groups.select("a", "n"), "a").join(sets, "cls")
     members = materialise(members, "jaccard-apart")
-    held = members.select("a", "n", F.explode("shingles").alias("g")).groupBy("a", "n", "g").agg(F.count(F.lit(1)).alias("c")).where("2 * c > n")
-    reference = held.groupBy("a").agg(F.collect_list("g").alias("most"))
+    counts = members.select("a", "n", F.explode("shingles").alias("g")).groupBy("a", "n", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    counts = materialise(counts, "jaccard-counts")
+    reference = counts.where("2 * c > n").groupBy("a").agg(F.collect_list("g").alias("most"))
     m = members.join(reference, "a", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
     size = F.size("shingles")
     most_k = F.floor((100 - percent) * (size + F.floor(size * 100 / percent)) / (100 + percent)).cast("int")
-    m = m.select("a", "cls", "root", "apart", size.alias("size"), most_k.alias("k"), F.sort_array(F.array_except("shingles", "most")).alias("plus"), F.array_except("most", "shingles").alias("minus"))
-    m = m.withColumn("added", F.size("plus")).withColumn("lacking", F.size("minus"))
+    m = m.select("a", "cls", "root", "apart", size.alias("size"), most_k.alias("k"), F.array_except("shingles", "most").alias("plus"), F.array_except("most", "shingles").alias("minus"))
+    m = materialise(m.withColumns({"added": F.size("plus"), "lacking": F.size("minus")}), "jaccard-differences")
+    # Of the added elements only the rarest k + 1 are needed, and only those that another member has too.
+    facts = ["a", "cls", "root", "apart", "size", "k", "added", "lacking"]
+    plus = m.select(*facts, F.explode("plus").alias("g")).join(counts.where("2 * c <= n").select("a", "g", "c"), ["a", "g"])
+    here = W.partitionBy("a", "cls")
+    plus = plus.withColumn("at", F.col("added") - F.count(F.lit(1)).over(here) + F.row_number().over(here.orderBy("c", "g"))).where("at <= k + 1")
+    plus = plus.select(*facts, F.lit(0).alias("kind"), "g")
     none = F.array().cast("array<struct<kind:int,g:bigint>>")
     tokens = lambda kind, array: F.transform(array, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("g")))
     few = F.when((F.col("added") <= F.col("k")) & (F.col("apart") | (F.col("lacking") > F.col("added"))), tokens(1, F.col("minus"))).otherwise(none)
     near = F.when(F.col("added") <= F.col("k"), tokens(2, F.array(F.lit(0).cast("bigint")))).otherwise(none)
-    keyed = m.select("a", "cls", "root", "apart", "size", "k", "added", "lacking", F.explode(F.concat(tokens(0, F.slice("plus", F.lit(1), F.col("k") + 1)), few, near)).alias("t"))
-    keyed = materialise(keyed.select("a", "cls", "root", "apart", "size", "k", "added", "lacking", "t.kind", "t.g"), "jaccard-tokens")
+    other = m.select(*facts, F.explode(F.concat(few, near)).alias("t")).select(*facts, "t.kind", "t.g")
+    keyed = materialise(plus.unionByName(other), "jaccard-tokens")
     close = F.col("added") + F.col("lacking") <= F.col("k")
     x = keyed.where(F.col("apart") & ((F.col("kind") == 0) | (close == (F.col("kind") == 2))))
     x = x.select("a", "kind", "g", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "added", "lacking")))
@@ -259,7 +324,7 @@ def jaccard_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) ->
     sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent), "sig long, cls long").repartition("sig").sortWithinPartitions("sig", "cls")
     shared = materialise(sigs.mapInArrow(_shared, "sig long, center long, cls long"), "jaccard-shared")
     first = materialise(stars(shared), "jaccard-stars")
-    sets = shingle_table(first.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, classes, gram)
+    sets = shingle_table(first.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs.where("doc_id is not null"), gram)
     links = materialise(verify(first, sets, percent), "jaccard-links")
     found = components(links)
     rest = materialise(remaining(first, found, sets, percent), "jaccard-rest")
