@@ -33,6 +33,8 @@ from terracell.llm.components import components
 from terracell.llm.shared import materialise
 
 COSINE, BLOCK, CHUNK, SEED = 0.95, 8, 4096, 17
+#: Width of a cell in radii: wider cells send fewer copies of a vector, narrower ones compare fewer pairs.
+WIDTH = 3.0
 _ROTATIONS: dict[int, np.ndarray] = {}
 
 
@@ -65,7 +67,7 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 def cells(turned: np.ndarray, block: int, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(rows, cells, own)``: the cells that each vector's radius reaches, and whether it is its own."""
     a, b = blocks_of(turned.shape[1])[block]
-    width, reach = 2 * radius, radius * (1 + 1e-9) + 1e-12
+    width, reach = WIDTH * radius, radius * (1 + 1e-9) + 1e-12
     span = 2 * math.ceil(1 / width) + 4
     home = np.zeros((len(turned), 2), np.int64)
     low, high = home.copy(), home.copy()
@@ -204,10 +206,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = rows.withColumn("sound", sound)
     classes = rows.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes.select("vec_id", "copies", "embedding", F.size("embedding").cast("long").alias("d")), "vector-classes")
-    given = classes.select("d", "vec_id", "copies", F.col("embedding").cast("array<double>").alias("embedding"))
+    given = classes.select("d", "vec_id", "copies", "embedding")
+    kind = classes.schema["embedding"].dataType.simpleString()  # single precision travels as such
     counted = given.mapInArrow(_count_job(cosine), "d long, cell long, n long, own long").groupBy("d", "cell").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
     chunks = {(r["d"], r["cell"]): (math.ceil(r["own"] / CHUNK), math.ceil(r["n"] / CHUNK)) for r in counted.collect()}
-    dealt = given.mapInArrow(_deal_job(cosine, chunks), "cell long, left int, right int, is_x boolean, is_y boolean, d long, vec_id long, copies long, embedding array<double>")
+    dealt = given.mapInArrow(_deal_job(cosine, chunks), f"cell long, left int, right int, is_x boolean, is_y boolean, d long, vec_id long, copies long, embedding {kind}")
     found = materialise(dealt.groupBy("d", "cell", "left", "right").applyInArrow(_join_job(cosine), "vec_id long, n long, root long"), "vector-links")
     reach = components(found.where("root <> vec_id").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
