@@ -7,7 +7,8 @@ heuristic finds complete segmentations in order of their scores, without a dead
 No piece reaches over a word start or a line end, so the lattice of a text is a chain of the
 lattices of its units. The best segmentation of a text joins the best of its units. The n best of
 a text differ from it only in the n - 1 units whose second segmentation costs least, so the search
-runs in those. Lattices of units are remembered, in a bounded store of each worker.
+runs in those. The forward scores of all units of a slice of texts are computed together, length by
+length; results for units are kept in a bounded store of each worker.
 
 Spaces become the word mark, one mark is put in front, and characters without a piece become the
 pieces of their UTF-8 bytes, the word mark itself too: decoding restores every text exactly.
@@ -21,12 +22,12 @@ table gives no rows; extra columns are kept.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,24 +219,217 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
     return b"".join([v.raw[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Longer units, and units with characters that have no piece, are handled one by one.
+LONGEST, SLICE = 40, 4 << 20
+
+
+class Lattices:
+    """Viterbi over many units at once, with the results of units seen before."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        keys = np.array([self._hash(p) for p in v.pieces], np.uint64)
+        order = np.argsort(keys)
+        assert len(np.unique(keys)) == len(keys)
+        self.keys = keys[order]
+        self.ids = np.array([i for i, _ in v.pieces.values()], np.int32)[order]
+        self.scores = np.array([s for _, s in v.pieces.values()])[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        self.longest = max(map(len, v.pieces))
+        self.raw_start = np.concatenate([[0], np.cumsum([len(r) for r in v.raw])])
+        self.raw = np.frombuffer(b"".join(v.raw), np.uint8)
+        self.ways: dict[str, list] = {}
+        self.forget()
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(_BASE) + ord(c) + 1) % (1 << 64)
+        return int(textbatch.mix(np.array([h], np.uint64))[0])
+
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.score, self.gap = np.zeros(0), np.zeros(0)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
+
+    def _lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (minus infinity without a piece) and ids."""
+        score, piece = np.full(len(h), -np.inf), np.full(len(h), -1, np.int32)
+        h = textbatch.mix(h)
+        some = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+        hit = self.keys[at] == h[some]
+        score[some[hit]], piece[some[hit]] = self.scores[at[hit]], self.ids[at[hit]]
+        return score, piece
+
+    def _solve(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Units of one length as rows of codes: score, gap to the second best, ids (row by row), pieces of each.
+
+        Rows with a character that has no piece get a score of minus infinity.
+        """
+        rows, n = c.shape
+        prefix = np.zeros((n + 1, rows), np.uint64)
+        for k in range(n):
+            prefix[k + 1] = prefix[k] * _BASE + (c[:, k].astype(np.uint64) + np.uint64(1))
+        power = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(n + 1)]
+        best = np.full((n + 1, rows), -np.inf)
+        best[0] = 0
+        back, of = np.zeros((n + 1, rows), np.int16), np.full((n + 1, rows), -1, np.int32)
+        edge: dict[tuple[int, int], np.ndarray] = {}
+        whole = np.ones(rows, bool)
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                score, piece = self._lookup(prefix[j] - prefix[i] * power[j - i])
+                if i == j - 1:
+                    whole &= piece >= 0
+                edge[i, j] = score
+                total = best[i] + score
+                better = total > best[j]
+                best[j][better], back[j][better], of[j][better] = total[better], i, piece[better]
+        rest = np.full((n + 1, rows), -np.inf)
+        rest[n] = 0
+        for i in range(n - 1, -1, -1):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                np.maximum(rest[i], edge[i, j] + rest[j], out=rest[i])
+        on = np.zeros((n + 1, rows), bool)
+        on[n] = True
+        for j in range(n, 0, -1):
+            at = np.flatnonzero(on[j])
+            on[back[j][at], at] = True
+        second = np.full(rows, -np.inf)
+        for (i, j), score in edge.items():
+            through = best[i] + score + rest[j]
+            through[on[j] & (back[j] == i)] = -np.inf
+            np.maximum(second, through, out=second)
+        used = on[1:].T
+        gap = np.where(whole, best[n], 0) - second
+        return np.where(whole, best[n], -np.inf), gap, of[1:].T[used & whole[:, None]], used.sum(1) * whole
+
+    def add(self, keys: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Solves units that are not known: their keys, and where their characters are in ``codes``."""
+        if len(self.known) + len(keys) > STORE * 2:
+            self.forget()
+        parts: list[tuple] = []
+        alone = list(np.flatnonzero(size > LONGEST))
+        for n in np.unique(size[size <= LONGEST]):
+            mine = np.flatnonzero(size == n)
+            for k in range(0, len(mine), 1 << 15):
+                at = mine[k : k + (1 << 15)]
+                score, gap, ids, count = self._solve(codes[start[at][:, None] + np.arange(n)])
+                fine = count > 0
+                alone += list(at[~fine])
+                parts.append((keys[at[fine]], score[fine], gap[fine], ids, count[fine]))
+        for u in alone:
+            score, ids, gap = viterbi(self.v, codes[start[u] : start[u] + size[u]].astype(np.uint32).tobytes().decode("utf-32-le"))
+            parts.append((keys[u : u + 1], np.array([score]), np.array([gap]), np.array(ids, np.int32), np.array([len(ids)])))
+        count = np.concatenate([self.count, *(p[4] for p in parts)]).astype(np.int64)
+        new = np.concatenate([p[4] for p in parts]).astype(np.int64)
+        first = np.concatenate([self.start, len(self.pool) + np.cumsum(new) - new])
+        self.pool = np.concatenate([self.pool, *(p[3] for p in parts)])
+        known = np.concatenate([self.known, *(p[0] for p in parts)])
+        order = np.argsort(known)
+        self.known, self.count, self.start = known[order], count[order], first[order]
+        self.score = np.concatenate([self.score, *(p[1] for p in parts)])[order]
+        self.gap = np.concatenate([self.gap, *(p[2] for p in parts)])[order]
+
+    def encode_slice(self, texts: pa.Array, n: int) -> pa.Array:
+        """``RESULT`` of a slice of texts."""
+        plain = texts.to_pylist()
+        odd = {i for i, t in enumerate(plain) if MARK in t or _OWN in t}
+        given = [b"" if not t or i in odd else b" " + t.encode("utf-8", "replace") for i, t in enumerate(plain)]
+        data = np.frombuffer(b"".join(given), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(b) for b in given])]).astype(np.int64)
+        ids, bounds, scores, exact = np.zeros(0, np.int32), np.zeros(len(plain) + 1, np.int64), [[0.0] for _ in plain], np.ones(len(plain), bool)
+        if len(data):
+            line, space = data == 10, data == 32
+            starts = line | space
+            starts[1:] = line[1:] | line[:-1] | (space[1:] & ~space[:-1])
+            starts[offsets[:-1][offsets[:-1] < len(data)]] = True
+            start = np.flatnonzero(starts)
+            end = np.append(start[1:], len(data))
+            key = textbatch.span_hashes(data, start, end)
+            distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+            new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
+            codes = np.frombuffer(b"".join(given).decode().encode("utf-32-le"), np.uint32).copy()
+            codes[codes == 32] = ord(MARK)
+            char = np.cumsum((data & 0xC0) != 0x80)
+            char = np.concatenate([[0], char])
+            if len(new):
+                if len(self.known) + len(new) > STORE * 2:
+                    self.forget()
+                    new = np.arange(len(distinct))
+                f = first[new]
+                self.add(distinct[new], codes, char[start[f]], char[end[f]] - char[start[f]])
+            at = np.searchsorted(self.known, distinct)[which]
+            row = np.searchsorted(offsets, start, "right") - 1
+            count = self.count[at]
+            ends = np.cumsum(count)
+            ids = self.pool[np.repeat(self.start[at] - (ends - count), count) + np.arange(int(ends[-1]))]
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(row, count, len(plain)))]).astype(np.int64)
+            total = np.bincount(row, self.score[at], len(plain))
+            # decoding restores the bytes
+            size = (self.raw_start[1:] - self.raw_start[:-1])[ids]
+            stop = np.cumsum(size)
+            decoded = self.raw[np.repeat(self.raw_start[ids] - (stop - size), size) + np.arange(int(stop[-1]))]
+            if len(decoded) != len(data) or (decoded != data).any():
+                for i in range(len(plain)):
+                    exact[i] = i in odd or decode(self.v, ids[bounds[i] : bounds[i + 1]].tolist()) == plain[i]
+            gap = self.gap[at]
+            order = np.lexsort((gap, row))
+            head = np.searchsorted(row[order], np.arange(len(plain) + 1))
+            for i in range(len(plain)):
+                if head[i] == head[i + 1]:
+                    continue
+                near = [int(u) for u in order[head[i] : min(head[i] + n - 1, head[i + 1])] if gap[u] < np.inf]
+                combos = [0.0]
+                for u in near:
+                    ways = self._ways(codes[char[start[u]] : char[end[u]]].tobytes().decode("utf-32-le"), n)
+                    combos = heapq.nlargest(n, [s + w for s in combos for w in ways])
+                scores[i] = [float(total[i]) + s for s in combos]
+        if odd:
+            lists = [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(plain))]
+            for i in odd:
+                ways = encode(self.v, plain[i], n)
+                lists[i], scores[i], exact[i] = ways[0][1], [w[0] for w in ways], decode(self.v, ways[0][1]) == plain[i]
+            found = pa.array(lists, pa.list_(pa.int32()))
+        else:
+            found = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+        return pa.StructArray.from_arrays([found, pa.array(scores, pa.list_(pa.float64())), pa.array(exact)], ["ids", "scores", "exact"])
+
+    def _ways(self, unit: str, n: int) -> list[float]:
+        """How much less than the best each of the n best segmentations of a unit has."""
+        hit = self.ways.get(unit)
+        if hit is None:
+            if len(self.ways) >= STORE // 2:
+                self.ways.clear()
+            found = n_best(self.v, unit, n)
+            hit = self.ways[unit] = [w - found[0][0] for w, _ in found]
+        return hit
+
+
+_BUILT: dict[int, Lattices] = {}
+
+
 def tokenise(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFrame:
     """Columns of ``docs``, then ``_pieces``: ids of the best, scores of the n best, and whether decoding restores the text."""
     spark = docs.sparkSession
-    arrow_bytes(spark)
+    arrow_bytes(spark, SLICE)
     shared = spark.sparkContext.broadcast(load(model))  # as large as the vocabulary
+    of_slice = _encoder(shared, n)
+    return docs.withColumn("_pieces", textbatch.scorer(F.col("text"), of_slice, RESULT, SLICE))
 
-    def of_slice(texts: pa.Array) -> pa.Array:
-        v, ids, scores, exact = shared.value, [], [], []
-        for text in texts.to_pylist():
-            ways = encode(v, text, n)
-            ids.append(ways[0][1])
-            scores.append([w[0] for w in ways])
-            exact.append(decode(v, ways[0][1]) == text)
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array(exact, pa.bool_())], ["ids", "scores", "exact"])
-
-    return docs.withColumn("_pieces", textbatch.scorer(F.col("text"), of_slice, RESULT))
 
+def _encoder(shared, n: int):
+    def of_slice(texts: pa.Array) -> pa.Array:
+        v = shared.value  # the same object in all tasks of a worker
+        if id(v) not in _BUILT:
+            _BUILT.clear()
+            _BUILT[id(v)] = Lattices(v)
+        return _BUILT[id(v)].encode_slice(texts, n)
 
-def digest(ids: list[int]) -> str:
-    """What the query says of ids."""
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return of_slice

@@ -64,24 +64,42 @@ class Words:
     n_rows: int
 
     def hashes(self) -> np.ndarray:
-        out = np.empty(len(self.start), np.uint64)
-        at = 0
-        while at < len(out):
-            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + SLICE, "right")))
-            base, top = int(self.start[at]), int(self.end[to - 1])
-            n = top - base
-            power = np.full(n + 1, _P, np.uint64)
+        return span_hashes(self.data, self.start, self.end)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, which are in order and don't overlap."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + SLICE, "right")))
+        base, top = int(start[at]), int(end[to - 1])
+        n = top - base
+        power, back = _powers(n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data[base:top]] * power[:n], out=total[1:])
+        s, e = start[at:to] - base, end[at:to] - base
+        out[at:to] = mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64) * _A)
+        at = to
+    return out
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse up to ``n``; those of a slice are kept."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        found = []
+        for base in (_P, _PINV):
+            power = np.full(max(n, SLICE) + 1, base, np.uint64)
             power[0] = 1
             np.multiply.accumulate(power, out=power)
-            back = np.full(n + 1, _PINV, np.uint64)
-            back[0] = 1
-            np.multiply.accumulate(back, out=back)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data[base:top]] * power[:n], out=total[1:])
-            s, e = self.start[at:to] - base, self.end[at:to] - base
-            out[at:to] = mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64) * _A)
-            at = to
-        return out
+            found.append(power)
+        if n > SLICE:
+            return found[0], found[1]
+        _POWERS[:] = found
+    return _POWERS[0], _POWERS[1]
 
 
 def words(texts: pa.Array) -> Words:
@@ -137,7 +155,7 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return value[keep], np.searchsorted(row[keep], np.arange(w.n_rows + 1))
 
 
-def scorer(text: Column, of_slice: Callable[[pa.Array], pa.Array], kind: str) -> Column:
+def scorer(text: Column, of_slice: Callable[[pa.Array], pa.Array], kind: str, limit: int = SLICE) -> Column:
     """``of_slice`` as a column: a value of the type ``kind`` for each text.
 
     Other columns stay in the JVM. The column is evaluated where it is named, once.
@@ -145,7 +163,7 @@ def scorer(text: Column, of_slice: Callable[[pa.Array], pa.Array], kind: str) ->
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in arrays:
-            parts = [of_slice(part) for _, part in slices(texts)]
+            parts = [of_slice(part) for _, part in slices(texts, limit)]
             yield pa.concat_arrays(parts) if parts else of_slice(pa.array([], pa.large_string()))
 
     run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}

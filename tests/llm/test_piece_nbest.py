@@ -55,3 +55,19 @@ def test_column(spark, v):
     rows = {r.doc_id: r._pieces for r in p.tokenise(df).collect()}
     assert rows[1].ids == p.encode(v, "the cat")[0][1] and rows[1].exact and len(rows[1].scores) == 4
     assert rows[2].ids == [] and rows[3].ids == [] and rows[3].exact
+
+
+def test_slices_match_single_texts(spark, v):
+    import pyarrow as pa
+
+    from terracell.llm import textbatch
+
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(40).collect()]
+    texts = [None, "", " ", "\n\n a", "▁ odd", "日本 ńń x", "y" * 90, "a\tb", *docs, "", "é"]
+    many = p.Lattices(v)
+    for _ in range(2):  # the second time from the store
+        ((_, part),) = textbatch.slices(pa.array(texts, pa.large_string()), 1 << 24)
+        for text, got in zip(texts, many.encode_slice(part, 4).to_pylist()):
+            want = p.encode(v, text, 4)
+            assert got["ids"] == want[0][1] and got["exact"]
+            assert got["scores"] == pytest.approx([s for s, _ in want])
