@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from terracell.llm.components import components
 from terracell.llm.shared import materialise
 
-COSINE, BLOCK, CHUNK, SEED = 0.95, 8, 4096, 17
+COSINE, BLOCK, CHUNK, SEED = 0.95, 8, 1 << 15, 17
 #: Width of a cell in radii: wider cells send fewer copies of a vector, narrower ones compare fewer pairs.
-WIDTH = 3.0
+WIDTH, TILE = 2.0, 256
 _ROTATIONS: dict[int, np.ndarray] = {}
 
 
@@ -158,11 +158,19 @@ def links_in(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, block: int, cosi
     norm = np.sqrt((vectors * vectors).sum(1))
     spans = blocks_of(d)
     a, b = spans[block]
-    part, square = turned[:, a:b], (turned[:, a:b] ** 2).sum(1)
-    step = max(1, (1 << 20) // max(len(y), 1))
-    for at in range(0, len(x), step):
-        xs = x[at : at + step]
-        near = square[xs][:, None] + square[y][None, :] - 2 * part[xs] @ part[y].T <= share[block] + 1e-9
+    # The squared distances of a tile come from one product in single precision, with room for its
+    # rounding. Both sides are in order of the block's last coordinate, which bounds the tile's partners.
+    part = turned[:, a:b].astype(np.float32)
+    square, one = (part * part).sum(1, keepdims=True), np.ones((len(part), 1), np.float32)
+    left, right = np.hstack([-2 * part, square, one]), np.hstack([part, one, square])
+    last, room = turned[:, b - 1], math.sqrt(share[block]) * (1 + 1e-9) + 1e-12
+    x, y = x[np.argsort(last[x], kind="stable")], y[np.argsort(last[y], kind="stable")]
+    every, sorted_right = y, right[y]
+    for at in range(0, len(x), TILE):
+        xs = x[at : at + TILE]
+        low, high = np.searchsorted(last[every], [last[xs[0]] - room, last[xs[-1]] + room])
+        y = every[low : high + 1]
+        near = left[xs] @ sorted_right[low : high + 1].T <= np.float32(share[block] + 1e-5)
         p, q = np.nonzero(near)
         p, q = xs[p], y[q]
         for k in range(0, len(p), 1 << 16):
