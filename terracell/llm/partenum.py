@@ -295,18 +295,21 @@ def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     plus = m.select(*facts, F.explode("plus").alias("g")).join(counts.where("2 * c <= n").select("a", "g", "c"), ["a", "g"])
     here = W.partitionBy("a", "cls")
     plus = plus.withColumn("at", F.col("added") - F.count(F.lit(1)).over(here) + F.row_number().over(here.orderBy("c", "g"))).where("at <= k + 1")
-    plus = plus.select(*facts, F.lit(0).alias("kind"), "g")
+    plus = plus.select(*facts, F.lit(0).alias("kind"), "g", F.col("at").cast("int").alias("at"))
     none = F.array().cast("array<struct<kind:int,g:bigint>>")
     tokens = lambda kind, array: F.transform(array, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("g")))
     few = F.when((F.col("added") <= F.col("k")) & (F.col("apart") | (F.col("lacking") > F.col("added"))), tokens(1, F.col("minus"))).otherwise(none)
     near = F.when(F.col("added") <= F.col("k"), tokens(2, F.array(F.lit(0).cast("bigint")))).otherwise(none)
-    other = m.select(*facts, F.explode(F.concat(few, near)).alias("t")).select(*facts, "t.kind", "t.g")
+    other = m.select(*facts, F.explode(F.concat(few, near)).alias("t")).select(*facts, "t.kind", "t.g", F.lit(0).alias("at"))
     keyed = materialise(plus.unionByName(other), "jaccard-tokens")
     close = F.col("added") + F.col("lacking") <= F.col("k")
     x = keyed.where(F.col("apart") & ((F.col("kind") == 0) | (close == (F.col("kind") == 2))))
-    x = x.select("a", "kind", "g", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "added", "lacking")))
+    x = x.select("a", "kind", "g", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "added", "lacking", "at")))
     k = F.floor((100 - percent) * (F.col("x_size") + F.col("size")) / (100 + percent))
-    fits = (F.col("kind") == 0) | (F.abs(F.col("x_lacking") - F.col("lacking")) + F.col("x_added") + F.col("added") <= k)
+    # Of the added elements a similar pair shares at least `least`; from its first common one on there are as many left in both.
+    least = (F.col("x_added") + F.col("added") + F.col("x_lacking") + F.col("lacking") - k) / 2 - F.least("x_lacking", "lacking")
+    left = 1 + F.least(F.col("x_added") - F.col("x_at"), F.col("added") - F.col("at"))
+    fits = F.when(F.col("kind") == 0, left >= least).otherwise(F.abs(F.col("x_lacking") - F.col("lacking")) + F.col("x_added") + F.col("added") <= k)
     sizes = (100 * F.col("x_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("x_size"))
     pairs = x.join(keyed, ["a", "kind", "g"]).where((F.col("x_root") != F.col("root")) & sizes & fits)
     return pairs.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b")).distinct()
