@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     state = _state(now)
     while state[0]:
-        now = materialise(_small_star(materialise(_large_star(now), "large-star")), "small-star")
+        now = materialise(_small_star(_large_star(now)), "stars")
         before, state = state, _state(now)
         if state == before:
             break
