@@ -208,7 +208,7 @@ def load_curve(points: DataFrame, curve_id: str) -> PiecewiseLinearCurve:
 def curve_points(wide: DataFrame, axis: str, curve_ids: list[str]) -> DataFrame:
     """A sheet with one column a curve to ``curve_id, point_index, intensity, damage``; what is no number is left out."""
     number = lambda c: F.expr(f"try_cast(`{c}` as double)")
-    rows = wide.select(number(axis).alias("intensity"), *(number(c).alias(c) for c in curve_ids)).unpivot(["intensity"], curve_ids, "curve_id", "damage").where("intensity is not null and damage is not null")
+    rows = wide.select(number(axis).alias("intensity"), *(number(c).alias(c) for c in curve_ids)).unpivot(["intensity"], [F.col(f"`{c}`") for c in curve_ids], "curve_id", "damage").where("intensity is not null and damage is not null")
     nth = F.row_number().over(W.partitionBy("curve_id").orderBy("intensity", "damage")) - 1
     return rows.select("curve_id", nth.alias("point_index"), "intensity", "damage")
 

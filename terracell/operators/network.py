@@ -60,11 +60,13 @@ def split_at_nodes(edges: DataFrame, key: str, line: str = "line", tolerance: fl
     dx, dy = q["x"] - p["x"], q["y"] - p["y"]
     t = F.try_divide((n["x"] - p["x"]) * dx + (n["y"] - p["y"]) * dy, dx * dx + dy * dy)
     off = F.hypot(n["x"] - p["x"] - t * dx, n["y"] - p["y"] - t * dy)
-    hits = tile_join(segments, nodes, box, point_box(n), size).withColumn("_t", t).where((F.col("_t") > 0) & (F.col("_t") < 1) & (off <= tolerance))
+    hits = tile_join(segments, nodes, box, point_box(n), size).withColumn("_t", t).where((F.col("_t") > 0) & (F.col("_t") <= 1) & (off <= tolerance))
     cuts = hits.groupBy(key, "_seg").agg(F.array_sort(F.collect_set(F.struct("_t", "_node"))).alias("_cuts"))
     flagged = segments.join(cuts, [key, "_seg"], "left")
     none = F.array().cast(f"array<struct<at:{g.POINT},cut:boolean>>")
-    part = F.concat(F.coalesce(F.transform("_cuts", lambda c: F.struct(c["_node"].alias("at"), F.lit(True).alias("cut"))), none), F.array(F.struct(q.alias("at"), F.lit(False).alias("cut"))))
+    inner = F.transform(F.filter("_cuts", lambda c: c["_t"] < 1), lambda c: F.struct(c["_node"].alias("at"), F.lit(True).alias("cut")))
+    at_end = F.coalesce(F.exists("_cuts", lambda c: c["_t"] == 1), F.lit(False))
+    part = F.concat(F.coalesce(inner, none), F.array(F.struct(q.alias("at"), at_end.alias("cut"))))
     stream = flagged.select(key, "_seg", part.alias("_part")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_seg", "_part"))).alias("_parts"))
     joined = edges.join(stream, key)
     whole = F.concat(F.array(F.struct(F.element_at(line, 1).alias("at"), F.lit(False).alias("cut"))), F.flatten(F.col("_parts._part")))

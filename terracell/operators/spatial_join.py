@@ -106,32 +106,33 @@ def first_match(points: DataFrame, polygons: DataFrame, size: float, key: str, v
     return points.join(hit.groupBy(key).agg(F.min_by(value, order).alias(value)), key, "left")
 
 
-def nearest(points: DataFrame, nodes: DataFrame, key: str, node_key: str, size: float, point: str = "point", node: str = "node", rings: int = 12) -> DataFrame:
+def nearest(points: DataFrame, nodes: DataFrame, key: str, node_key: str, size: float, point: str = "point", node: str = "node") -> DataFrame:
     """Adds ``node_key`` and ``distance`` of the nearest node; equal distances go to the least key.
 
-    Tiles around a point are searched in rings that double. A hit nearer than the searched margin is
-    final; points without one go on. What is left after ``rings`` rounds has its nearest node beyond
-    ``size * 2 ** (rings - 1)`` and goes on in ever larger tiles until none is left.
+    The nine tiles around a point are searched. A hit no farther than a tile's width is final; points
+    without one go on with tiles four times as wide, until none is left. Each round is checkpointed.
     """
+    from terracell.sources.shared import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(points.sparkSession)
     n = nodes.select(F.col(node_key), F.col(node).alias("_n"))
     left = points.select(key, F.col(point).alias("_p")).where("_p is not null")
-    found = None
     if n.isEmpty():
         return points.withColumns({node_key: F.lit(None).cast(nodes.schema[node_key].dataType), "distance": F.lit(None).cast("double")})
-    step, width = 0, size
-    while True:
+    found, width = None, size
+    around = F.explode(F.expr("flatten(transform(sequence(-1L, 1L), a -> transform(sequence(-1L, 1L), b -> struct(a as a, b as b))))"))
+    while width < 1e300:
         near = n.select(node_key, "_n", F.floor(F.col("_n.x") / width).alias("_x"), F.floor(F.col("_n.y") / width).alias("_y"))
-        around = F.explode(F.expr("flatten(transform(sequence(-1L, 1L), a -> transform(sequence(-1L, 1L), b -> struct(a as a, b as b))))"))
         asked = left.select(key, "_p", around.alias("_d"))
         asked = asked.select(key, "_p", (F.floor(F.col("_p.x") / width) + F.col("_d.a")).alias("_x"), (F.floor(F.col("_p.y") / width) + F.col("_d.b")).alias("_y"))
         gap = F.hypot(F.col("_p.x") - F.col("_n.x"), F.col("_p.y") - F.col("_n.y"))
         best = asked.join(near, ["_x", "_y"]).groupBy(key).agg(F.min(F.struct(gap.alias("distance"), F.col(node_key).alias("id"))).alias("_b"))
-        best = best.where(F.col("_b.distance") <= width).select(key, F.col("_b.id").alias(node_key), F.col("_b.distance").alias("distance"))
+        best = best.where(F.col("_b.distance") <= width).select(key, F.col("_b.id").alias(node_key), F.col("_b.distance").alias("distance")).checkpoint()
         found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(key), key, "left_anti")
-        step, width = step + 1, width * (2 if step < rings else 16)
-        if step >= 4 and step % 2 == 0 and left.isEmpty() or width > 1e300:
+        left = left.join(best.select(key), key, "left_anti").checkpoint()
+        if left.isEmpty():
             break
+        width *= 4
     return points.join(found, key, "left")
 
 
