@@ -162,11 +162,11 @@ SELECT a.edge, a.hazard, round(ead_low, 6) AS ead_low, round(ead_high, 6) AS ead
     "melt_hazards": f"""WITH t AS (SELECT {KEYS}, l_extendedprice, CASE WHEN l_quantity > 30 THEN l_quantity - 30 END AS river, CASE WHEN l_quantity % 2 = 0 THEN l_quantity / 4 END AS coast, l_quantity - 25 AS surge FROM lineitem)
 SELECT * FROM (UNPIVOT t ON river, coast, surge INTO NAME key VALUE depth_m) WHERE depth_m > 0""",
     "pivot_return_period": f"WITH {EXPOSURE} SELECT region, hazard, {', '.join(f'coalesce(sum(damage) FILTER (rp = {p}), 0.0::DOUBLE) AS rp{p:g}' for p in PERIODS)} FROM e GROUP BY ALL",
-    "scenario_key_parse": r"""WITH k AS (SELECT CASE WHEN l_linenumber = 3 THEN 'other' ELSE 'wri_aqueduct-version_2-inun' || CASE WHEN l_linenumber % 2 = 0 THEN 'river' ELSE 'coast' END || '_rcp' || (l_linenumber % 3) || 'p5_wtsub_2050_rp'
-  || lpad((l_suppkey % 9 * 100 + 2)::VARCHAR, 4, '0') || CASE WHEN l_linenumber > 5 THEN '_5-gha' ELSE '-gha' END END AS key FROM lineitem), g AS (SELECT key, count(*) AS n FROM k GROUP BY 1),
-m AS (SELECT *, 'wri_aqueduct-version_2-(\w+)_([^_]+)_([^_]+)_([^_]+)_rp([^-]+)-gha' AS p FROM g)
+    "scenario_key_parse": r"""WITH k AS (SELECT CASE WHEN l_linenumber = 3 THEN 'other' ELSE 'floodmaps-v2-inun' || CASE WHEN l_linenumber % 2 = 0 THEN 'river' ELSE 'coast' END || '_rcp' || (l_linenumber % 3) || 'p5_wtsub_2050_rp'
+  || lpad((l_suppkey % 9 * 100 + 2)::VARCHAR, 4, '0') || CASE WHEN l_linenumber > 5 THEN '_5-all' ELSE '-all' END END AS key FROM lineitem), g AS (SELECT key, count(*) AS n FROM k GROUP BY 1),
+m AS (SELECT *, 'floodmaps-v2-(\w+)_([^_]+)_([^_]+)_([^_]+)_rp([^-]+)-all' AS p FROM g)
 SELECT key, n, nullif(regexp_extract(key, p, 1), '') AS hazard, nullif(regexp_extract(key, p, 2), '') AS rcp, nullif(regexp_extract(key, p, 3), '') AS sub, nullif(regexp_extract(key, p, 4), '') AS epoch,
-  try_cast(ltrim(replace(nullif(regexp_extract(key, p, 5), ''), '_', '.'), '0') AS DOUBLE) AS rp FROM m""".replace("regexp_extract(key, p,", r"regexp_extract(key, 'wri_aqueduct-version_2-(\w+)_([^_]+)_([^_]+)_([^_]+)_rp([^-]+)-gha',"),
+  try_cast(ltrim(replace(nullif(regexp_extract(key, p, 5), ''), '_', '.'), '0') AS DOUBLE) AS rp FROM m""".replace("regexp_extract(key, p,", r"regexp_extract(key, 'floodmaps-v2-(\w+)_([^_]+)_([^_]+)_([^_]+)_rp([^-]+)-all',"),
     "layer_key_format": f"WITH {EXPOSURE} SELECT DISTINCT hazard, scenario, region, 'hazard:' || hazard || '|region:' || region || '|scenario:' || scenario AS key, 'p' AS bare FROM e",
     "label_parse": "SELECT n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' (m/s) ' ELSE ' ' END AS label, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'm/s' END AS unit FROM nation",
     "npv_costs": f"""WITH {PRESENT} SELECT kind, round(initial_cost_usd_per_km, 4) AS initial_cost_usd_per_km, round(routine_usd_per_km, 4) AS routine_usd_per_km, round(periodic_usd_per_km, 4) AS periodic_usd_per_km,

@@ -299,9 +299,9 @@ def pivot_return_period(spark, d):
 @query
 def scenario_key_parse(spark, d):
     n = F.col("l_linenumber")
-    key = F.concat(F.lit("wri_aqueduct-version_2-inun"), F.when(n % 2 == 0, "river").otherwise("coast"), F.lit("_rcp"), (n % 3).cast("string"), F.lit("p5_wtsub_2050_rp"), F.lpad((F.col("l_suppkey") % 9 * 100 + 2).cast("string"), 4, "0"), F.when(n > 5, "_5-gha").otherwise("-gha"))
+    key = F.concat(F.lit("floodmaps-v2-inun"), F.when(n % 2 == 0, "river").otherwise("coast"), F.lit("_rcp"), (n % 3).cast("string"), F.lit("p5_wtsub_2050_rp"), F.lpad((F.col("l_suppkey") % 9 * 100 + 2).cast("string"), 4, "0"), F.when(n > 5, "_5-all").otherwise("-all"))
     keys = table(spark, d, "lineitem").select(F.when(n == 3, F.lit("other")).otherwise(key).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    pattern = r"wri_aqueduct-version_2-(\w+)_([^_]+)_([^_]+)_([^_]+)_rp([^-]+)-gha"
+    pattern = r"floodmaps-v2-(\w+)_([^_]+)_([^_]+)_([^_]+)_rp([^-]+)-all"
     out = keys.select("*", *risk.scenario_columns(F.col("key"), pattern, ["hazard", "rcp", "sub", "epoch", "rp_text"]))
     return out.select("key", "n", "hazard", "rcp", "sub", "epoch", risk.period_number(F.col("rp_text")).alias("rp"))
 
