@@ -221,7 +221,7 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Longer units, and units with characters that have no piece, are handled one by one.
-LONGEST, SLICE = 40, 4 << 20
+LONGEST, SLICE = 40, 2 << 20
 
 
 class Lattices:
