@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from terracell.llm import kn_lang, mixing, partenum, piece_nbest, toxicity
 from terracell.llm.shared import materialise, table
 
+#: Words of a shingle and least similarity of near-copies; op3_jaccard_join has its own.
+GRAM, PERCENT = 5, 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of those learned; texts without letters and strange texts go."""
@@ -26,7 +29,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies: the one with the least doc_id. Rows without a doc_id stay."""
-    groups = materialise(partenum.jaccard_groups(docs), "pipeline-groups")
+    groups = materialise(partenum.jaccard_groups(docs, GRAM, PERCENT), "pipeline-groups")
     gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = materialise(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-again")
