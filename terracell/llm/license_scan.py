@@ -33,31 +33,35 @@ NOTICES = {
         "Licensed under the Apache License, Version 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Apache License",
     ),
     "MIT": (
         "Released under the MIT License.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "MIT License",
     ),
     "BSD": (
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "BSD License",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "GNU General Public License",
     ),
-    "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"),
-    "AGPL": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    "ISC": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    "Proprietary": ("Copyright. All rights reserved.", "This document is confidential and proprietary and may not be reproduced without written permission."),
+    "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "GNU Lesser General Public License"),
+    "AGPL": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later", "GNU Affero General Public License"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License"),
+    "CC-BY": ("Licensed under CC BY 4.0.", "CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC0": ("Released under CC0 1.0 Universal.", "CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    "ISC": ("Licensed under the ISC License.", "ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "Proprietary": ("Copyright. All rights reserved.", "All rights reserved.", "This document is confidential and proprietary and may not be reproduced without written permission."),
 }
 DIMENSIONS, SAMPLE, SEED, CONFIRM, LEAST_PAIRS, FALSE_RATE = 1 << 15, 600, 5, 0.6, 3, 0.001
 RESULT = "array<struct<line:int,family:string,probability:double,similarity:double>>"
@@ -171,7 +175,8 @@ def train(lines: list[str]) -> Model:
     families = list(NOTICES)
     pairs = {f: [_pairs(t) for t in NOTICES[f]] for f in families}
     known = np.unique(np.concatenate([p for x in pairs.values() for p in x]))
-    far = [t for t in sorted(set(lines)) if not np.isin(_pairs(t), known).sum() >= 2]
+    whole = np.concatenate([p for x in pairs.values() for p in x if len(p) == 1])  # one such pair is a notice
+    far = [t for t in sorted(set(lines)) if not (np.isin(p := _pairs(t), known).sum() >= 2 or np.isin(p, whole).any())]
     vocabulary = sorted({w for t in far for w in t.split()}) or ["lorem", "ipsum", "dolor"]
     some = lambda n: [rng.choice(vocabulary) for _ in range(rng.randint(0, n))]
     texts, y = [], []
