@@ -45,10 +45,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the best segmentation, the score of the best and the last of the n best, and the round trip."""
+    """Token ids of the best segmentation, what the others of the n best replace in it, their scores, and the round trip."""
     p = piece_nbest.tokenise(docs.select("doc_id", "lang", "source", "text"))
     p = p.select("doc_id", "lang", "source", F.col("_pieces").alias("p"))
-    return p.select("doc_id", "lang", "source", F.col("p.ids").alias("ids"), F.size("p.ids").cast("long").alias("n_pieces"), F.get("p.scores", F.lit(0)).alias("score"), F.element_at("p.scores", -1).alias("last_score"), F.col("p.exact").alias("exact"))
+    return p.select("doc_id", "lang", "source", F.col("p.ids").alias("ids"), F.size("p.ids").cast("long").alias("n_pieces"), F.get("p.scores", F.lit(0)).alias("score"), F.element_at("p.scores", -1).alias("last_score"), F.col("p.exact").alias("exact"), F.col("p.scores").alias("scores"), F.col("p.others").alias("others"))
 
 
 STAGES = [

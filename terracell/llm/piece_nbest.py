@@ -15,8 +15,11 @@ pieces of their UTF-8 bytes, the word mark itself too: decoding restores every t
 Scores: those of the model if it is a unigram model; for merge-ranked vocabularies, whose scores
 are merge ranks only, ``-log(rank + 2)``.
 
-Defined results: null and empty texts have no pieces, score 0 and one segmentation; segmentations
-of equal score are ordered by their ids; lone surrogates don't occur in Spark strings; an empty
+A column holds the ids of the best segmentation and, for each other one, what it replaces in the
+best; :func:`segmentations` makes whole lists of them.
+
+Defined results: null and empty texts have no pieces, score 0 and one segmentation; of a unit's
+segmentations of equal best score that of the forward pass is first, others are ordered by their ids; lone surrogates don't occur in Spark strings; an empty
 table gives no rows; extra columns are kept.
 """
 
@@ -29,14 +32,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
 from terracell.llm.shared import arrow_bytes
 
 MODEL, N_BEST, MARK, STORE = "/opt/tokenizers/piece_bpe_32k.model", 4, "▁", 200_000
-RESULT = "struct<ids:array<int>,scores:array<double>,exact:boolean>"
+#: ``others``: for each segmentation after the best, what it has in place of ``count`` ids of the best from ``at`` on, in order.
+RESULT = "struct<ids:array<int>,scores:array<double>,exact:boolean,others:array<array<struct<at:int,count:int,ids:array<int>>>>>"
 _NONE = -math.inf
 
 
@@ -186,6 +190,13 @@ def n_best(v: Vocabulary, unit: str, n: int = N_BEST) -> list[tuple[float, tuple
     return found[:n]
 
 
+def ways_of(v: Vocabulary, unit: str, best: tuple[int, ...], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """How much less than the best each of the n best segmentations of a unit has, and its ids; ``best`` is the first."""
+    found = n_best(v, unit, n)
+    top = found[0][0]
+    return [(0.0, best), *[(w - top, ids) for w, ids in found if ids != best]][:n]
+
+
 def encode(v: Vocabulary, text: str | None, n: int = N_BEST) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of a text: ``(score, ids)``, best first."""
     if not text:
@@ -207,8 +218,8 @@ def encode(v: Vocabulary, text: str | None, n: int = N_BEST) -> list[tuple[float
         near = [(g, i) for g, i in heapq.nsmallest(n - 1, ((k[2], i) for i, k in enumerate(kept))) if g < math.inf]
         combos: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         for _, i in sorted(near, key=lambda x: x[1]):
-            ways = n_best(v, units[i], n)
-            combos = heapq.nlargest(n, [(s + w - ways[0][0], c | {i: p}) for s, c in combos for w, p in ways], key=lambda x: x[0])
+            ways = ways_of(v, units[i], kept[i][1], n)
+            combos = heapq.nlargest(n, [(s + w, c | {i: p}) for s, c in combos for w, p in ways], key=lambda x: x[0])
         for gap, changed in combos[1:]:
             out.append((score + gap, [x for i, k in enumerate(kept) for x in changed.get(i, k[1])]))
     return out
@@ -344,6 +355,7 @@ class Lattices:
         data = np.frombuffer(b"".join(given), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in given])]).astype(np.int64)
         ids, bounds, scores, exact = np.zeros(0, np.int32), np.zeros(len(plain) + 1, np.int64), [[0.0] for _ in plain], np.ones(len(plain), bool)
+        others: list[list[list[tuple[int, int, bytes]]]] = [[] for _ in plain]
         if len(data):
             line, space = data == 10, data == 32
             starts = line | space
@@ -386,37 +398,66 @@ class Lattices:
                 if head[i] == head[i + 1]:
                     continue
                 near = [int(u) for u in order[head[i] : min(head[i] + n - 1, head[i + 1])] if gap[u] < np.inf]
-                combos = [0.0]
-                for u in near:
-                    ways = self._ways(codes[char[start[u]] : char[end[u]]].tobytes().decode("utf-32-le"), n)
-                    combos = heapq.nlargest(n, [s + w for s in combos for w in ways])
-                scores[i] = [float(total[i]) + s for s in combos]
+                combos: list[tuple[float, tuple]] = [(0.0, ())]
+                for u in sorted(near):
+                    ways, same = self._ways(codes[char[start[u]] : char[end[u]]].tobytes().decode("utf-32-le"), ids[ends[u] - count[u] : ends[u]], n)
+                    exact[i] &= same
+                    here = (int(ends[u] - count[u] - bounds[i]), int(count[u]))
+                    combos = heapq.nlargest(n, [(s + w, c if k == 0 else (*c, (*here, p))) for s, c in combos for k, (w, p) in enumerate(ways)], key=lambda x: x[0])
+                scores[i] = [float(total[i]) + s for s, _ in combos]
+                others[i] = [c for _, c in combos[1:]]
         if odd:
             lists = [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(plain))]
             for i in odd:
                 ways = encode(self.v, plain[i], n)
-                lists[i], scores[i], exact[i] = ways[0][1], [w[0] for w in ways], decode(self.v, ways[0][1]) == plain[i]
+                lists[i], scores[i], exact[i] = ways[0][1], [w[0] for w in ways], all(decode(self.v, w[1]) == plain[i] for w in ways)
+                others[i] = [[(0, len(lists[i]), np.array(w[1], np.int32).tobytes())] for w in ways[1:]]
             found = pa.array(lists, pa.list_(pa.int32()))
         else:
             found = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-        return pa.StructArray.from_arrays([found, pa.array(scores, pa.list_(pa.float64())), pa.array(exact)], ["ids", "scores", "exact"])
+        return pa.StructArray.from_arrays([found, pa.array(scores, pa.list_(pa.float64())), pa.array(exact), _replaced(others)], ["ids", "scores", "exact", "others"])
 
-    def _ways(self, unit: str, n: int) -> list[float]:
-        """How much less than the best each of the n best segmentations of a unit has."""
+    def _ways(self, unit: str, best: np.ndarray, n: int) -> tuple[list[tuple[float, bytes]], bool]:
+        """:func:`ways_of` a unit, with the bytes of the ids, and whether all decode alike."""
         hit = self.ways.get(unit)
         if hit is None:
             if len(self.ways) >= STORE // 2:
                 self.ways.clear()
-            found = n_best(self.v, unit, n)
-            hit = self.ways[unit] = [w - found[0][0] for w, _ in found]
+            found = ways_of(self.v, unit, tuple(best.tolist()), n)
+            same = len({b"".join([self.v.raw[x] for x in p]) for _, p in found}) == 1
+            hit = self.ways[unit] = [(w, np.array(p, np.int32).tobytes()) for w, p in found], same
         return hit
 
 
+def _replaced(others: list[list[list[tuple[int, int, bytes]]]]) -> pa.Array:
+    """The column ``others`` of ``RESULT``."""
+    bounds = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int32))
+    ways = [c for row in others for c in row]
+    changes = [x for c in ways for x in c]
+    put = pa.array(np.frombuffer(b"".join([x[2] for x in changes]), np.int32))
+    put = pa.ListArray.from_arrays(bounds([len(x[2]) // 4 for x in changes]), put)
+    facts = [pa.array([x[k] for x in changes], pa.int32()) for k in (0, 1)]
+    changes = pa.StructArray.from_arrays([*facts, put], ["at", "count", "ids"])
+    return pa.ListArray.from_arrays(bounds([len(row) for row in others]), pa.ListArray.from_arrays(bounds([len(c) for c in ways]), changes))
+
+
+def segmentations(pieces: Column) -> Column:
+    """The ids of all the n best segmentations of a column of ``RESULT``, best first."""
+
+    def put(ids: Column, x: Column) -> Column:
+        rest = x["at"] + x["count"]
+        return F.concat(F.slice(ids, F.lit(1), x["at"]), x["ids"], F.slice(ids, rest + 1, F.size(ids) - rest))
+
+    # from the last change on, so that places in the best hold
+    whole = F.transform(pieces["others"], lambda c: F.aggregate(F.reverse(c), pieces["ids"], put))
+    return F.concat(F.array(pieces["ids"]), whole)
+
+
 _BUILT: dict[int, Lattices] = {}
 
 
 def tokenise(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFrame:
-    """Columns of ``docs``, then ``_pieces``: ids of the best, scores of the n best, and whether decoding restores the text."""
+    """Columns of ``docs``, then ``_pieces``: the n best segmentations (``RESULT``), their scores, and whether decoding each restores the text."""
     spark = docs.sparkSession
     arrow_bytes(spark, SLICE)
     shared = spark.sparkContext.broadcast(load(model))  # as large as the vocabulary

@@ -62,7 +62,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", F.col("_pieces").alias("p"))
     return found.select(
         "doc_id", F.size("p.ids").cast("long").alias("n_pieces"), F.get("p.scores", F.lit(0)).alias("score"), F.size("p.scores").cast("long").alias("n_best"),
-        (F.get("p.scores", F.lit(0)) - F.element_at("p.scores", -1)).alias("margin"), F.xxhash64("p.ids").alias("ids_hash"), F.col("p.exact").alias("exact"),
+        (F.get("p.scores", F.lit(0)) - F.element_at("p.scores", -1)).alias("margin"), F.xxhash64("p.ids", "p.others").alias("ids_hash"), F.col("p.exact").alias("exact"),
     )
 
 
