@@ -41,21 +41,23 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "taking out the trash", "cl
 _FOLD: np.ndarray | None = None
 
 
+def _folded(i: int) -> int:
+    """The folded code of a code point; 32 for what is no letter."""
+    if 0xD800 <= i < 0xE000:
+        return 32
+    c = chr(i)
+    plain = unicodedata.normalize("NFKD", c).lower()[:1] if not c.isascii() else c.lower()
+    plain = ALIKE.get(plain, plain)
+    if plain == "l":
+        plain = "i"  # as digit one stands for either
+    return ord(plain) if plain.isalpha() else 32
+
+
 def _fold_table() -> np.ndarray:
-    """The folded code of each code point below 65536; 32 for what is no letter."""
+    """The folded code of each code point below 65536."""
     global _FOLD
     if _FOLD is None:
-        table = np.full(1 << 16, 32, np.uint32)
-        for i in range(1 << 16):
-            c = chr(i)
-            if 0xD800 <= i < 0xE000:
-                continue
-            plain = unicodedata.normalize("NFKD", c).lower()[:1] if not c.isascii() else c.lower()
-            plain = ALIKE.get(plain, plain)
-            if plain.isalpha() and ord(plain) < 1 << 16:
-                table[i] = ord(plain)
-        table[ord("l")] = table[ord("L")] = ord("i")  # as digit one stands for either
-        _FOLD = table
+        _FOLD = np.array([_folded(i) for i in range(1 << 16)], np.uint32)
     return _FOLD
 
 
@@ -65,7 +67,12 @@ def fold(text: str) -> str:
     marks = (code >= 0x300) & (code < 0x370)
     if marks.any():
         code = code[~marks]
-    return _fold_table()[np.minimum(code, 0xFFFF)].tobytes().decode("utf-32-le")
+    out = _fold_table()[np.minimum(code, 0xFFFF)]
+    high = code > 0xFFFF
+    if high.any():
+        some, at = np.unique(code[high], return_inverse=True)
+        out[high] = np.array([_folded(int(i)) for i in some], np.uint32)[at]
+    return out.tobytes().decode("utf-32-le")
 
 
 @dataclass
