@@ -56,8 +56,7 @@ def _prepared(df: DataFrame, name: str | None) -> tuple[DataFrame, str]:
 
 
 def _read(spark: SparkSession, path: str, layer: str | None) -> tuple[DataFrame, str]:
-    name = vector.geometry_kind(spark, path) if path.lower().endswith((".geojson", ".json")) else None
-    return _prepared(vector.read_features(spark, path, layer), name)
+    return _prepared(*vector.read_typed(spark, path, layer))
 
 
 def write(df: DataFrame, path: str, kind: str) -> None:

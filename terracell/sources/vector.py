@@ -1,19 +1,21 @@
 """Vector layers: GeoJSON, Parquet with WKB, GeoPackage, Shapefile; and their codecs.
 
 Layers become tables with a ``geometry`` column of plain nested arrays. Multi-geometries of a layer
-have one level more. Rows without a geometry are dropped.
+have one level more; where a layer has both, single ones count as multi ones. Rows without a geometry
+are dropped, other types raise.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from terracell.functions.geometry import LINE, POINT, POLYGON
 
@@ -195,25 +197,57 @@ def _to_arrays(c: Column, depth: int) -> Column:
     return F.array(c["x"], c["y"]) if depth == 0 else F.transform(c, lambda v: _to_arrays(v, depth - 1))
 
 
-def geometry_kind(spark: SparkSession, path: str) -> str | None:
-    """The type of the first feature with a geometry in a GeoJSON file."""
-    schema = "features array<struct<geometry:struct<type:string>>>"
-    row = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features.geometry.type").alias("t")).where("t is not null").head(1)
-    return row[0].t if row else None
+def layer_kind(names: Iterable[str]) -> str | None:
+    """The type of a layer whose features have these types: the multi type where single and multi ones occur. Others raise."""
+    names = set(names)
+    multi = {"Multi" + n.removeprefix("Multi") for n in names}
+    if len(multi) > 1 or not names <= _DEPTH.keys():
+        raise ValueError(f"a layer of {', '.join(sorted(names))} is not supported")
+    return next(iter(names if len(names) == 1 else multi), None)
+
+
+def _kind_in(names: DataFrame) -> str | None:
+    """:func:`layer_kind` of the rows of a table with one column."""
+    return layer_kind(r[0] for r in names.distinct().collect() if r[0] is not None)
+
+
+def _geometry_text(schema: StructType) -> StructType:
+    """The properties and the geometry of a feature, the geometry as the text it is written in."""
+    kept = [f for f in schema.fields if f.name == "properties" and isinstance(f.dataType, StructType)]
+    return StructType([*kept, StructField("geometry", StringType())])
+
+
+def _shape(text: Column, kind: str) -> Column:
+    """The geometry of ``kind`` in a GeoJSON geometry; single ones become multi ones where asked. Others raise."""
+
+    def read(name: str) -> Column:
+        c = F.from_json(text, f"coordinates {_coordinates(_DEPTH[name])}")["coordinates"]
+        return F.when(c.isNull(), F.raise_error(F.concat(F.lit(f"no coordinates of a {name}: "), text))).otherwise(_from_arrays(c, _DEPTH[name]))
+
+    name, single = F.get_json_object(text, "$.type"), kind.removeprefix("Multi")
+    found = F.when(text.isNull(), F.lit(None)).when(name == kind, read(kind))
+    if single != kind:
+        found = found.when(name == single, F.array(read(single)))
+    return found.otherwise(F.raise_error(F.concat(F.lit(f"the layer has {kind}, a row has "), F.coalesce(name, F.lit("no type"))))).cast(TYPES[kind])
+
+
+def _parsed(rows: DataFrame, kind: str | None) -> tuple[DataFrame, str]:
+    """Rows of :func:`_geometry_text` as properties and ``geometry``, and its type."""
+    rows = rows.where("geometry is not null")
+    kind = kind or _kind_in(rows.select(F.coalesce(F.get_json_object("geometry", "$.type"), F.lit("no type")))) or "Point"
+    named = [F.col("properties")[n].alias(n) for n in rows.schema["properties"].dataType.names] if "properties" in rows.columns else []
+    return rows.select(*named, _shape(F.col("geometry"), kind).alias("geometry")), kind
 
 
 def read_geojson(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Properties as columns and ``geometry``; the type of the first feature holds for all."""
-    kind = kind or geometry_kind(spark, path) or "Point"
-    rows = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    fields = rows.schema["f"].dataType
-    has = "properties" in fields.names and hasattr(fields["properties"].dataType, "names")
-    named = [F.col("f.properties")[n].alias(n) for n in fields["properties"].dataType.names] if has else []
-    if "geometry" not in fields.names:
-        return rows.select(*named, F.lit(None).cast(TYPES[kind]).alias("geometry")).limit(0)
-    shape = F.from_json(F.to_json("f.geometry"), f"type string, coordinates {_coordinates(_DEPTH[kind])}")
-    rows = rows.select(*named, shape.alias("_g")).where("_g.coordinates is not null")
-    return rows.select(*[n for n in rows.columns if n != "_g"], _from_arrays(F.col("_g.coordinates"), _DEPTH[kind]).alias("geometry"))
+    """Properties as columns and ``geometry``, of the type of the layer."""
+    return _geojson(spark, path, kind)[0]
+
+
+def _geojson(spark: SparkSession, path: str, kind: str | None) -> tuple[DataFrame, str]:
+    feature = spark.read.option("multiLine", True).json(path).schema["features"].dataType.elementType
+    schema = StructType([StructField("features", ArrayType(_geometry_text(feature if isinstance(feature, StructType) else StructType())))])
+    return _parsed(spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("features")), kind)
 
 
 def write_geojson(df: DataFrame, path: str, kind: str, geometry: str = "geometry") -> None:
@@ -224,33 +258,38 @@ def write_geojson(df: DataFrame, path: str, kind: str, geometry: str = "geometry
     df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), shape.alias("geometry"))).alias("value")).write.mode("overwrite").text(path)
 
 
+def _wkb_layer(df: DataFrame, geometry: str, kind: str | None) -> tuple[DataFrame, str]:
+    @F.arrow_udf("string")
+    def name(data: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else read_wkb(b)[0] for b in data.to_pylist()], pa.string())
+
+    kind = kind or _kind_in(df.where(F.col(geometry).isNotNull()).select(name(F.col(geometry)))) or "Point"
+    return df.withColumn(geometry, from_wkb(F.col(geometry), kind)), kind
+
+
 def read_features(spark: SparkSession, path: str, layer: str | None = None, kind: str | None = None, geometry: str = "geometry") -> DataFrame:
     """A layer by the ending of its path: Parquet (nested or WKB), GeoJSON, lines of features, GeoPackage, Shapefile."""
+    return read_typed(spark, path, layer, kind, geometry)[0]
+
+
+def read_typed(spark: SparkSession, path: str, layer: str | None = None, kind: str | None = None, geometry: str = "geometry") -> tuple[DataFrame, str | None]:
+    """:func:`read_features` and the type of the layer, which nested Parquet doesn't tell."""
     lower = path.lower().rstrip("/")
     if lower.endswith((".parquet", ".geoparquet")):
         df = spark.read.parquet(path)
         if dict(df.dtypes)[geometry] == "binary":
-            first = df.where(F.col(geometry).isNotNull()).select(geometry).head(1)
-            kind = kind or (read_wkb(bytes(first[0][0]))[0] if first else "Point")
-            df = df.withColumn(geometry, from_wkb(F.col(geometry), kind))
+            df, kind = _wkb_layer(df, geometry, kind)
     elif lower.endswith((".geojson", ".json")):
-        df = read_geojson(spark, path, kind)
+        df, kind = _geojson(spark, path, kind)
     elif lower.endswith((".geojsonl", ".ndjson")):
-        kind = kind or spark.read.schema("geometry struct<type:string>").json(path).where("geometry.type is not null").head(1)[0].geometry.type
-        schema = spark.read.json(path).schema
-        df = spark.read.json(path)
-        names = schema["properties"].dataType.names if "properties" in schema.names and hasattr(schema["properties"].dataType, "names") else []
-        shape = F.from_json(F.to_json("geometry"), f"coordinates {_coordinates(_DEPTH[kind])}")
-        df = df.select(*(F.col("properties")[n].alias(n) for n in names), _from_arrays(shape["coordinates"], _DEPTH[kind]).alias("geometry"))
+        df, kind = _parsed(spark.read.schema(_geometry_text(spark.read.json(path).schema)).json(path), kind)
     elif lower.endswith((".gpkg", ".shp")):
         spark.dataSource.register(VectorFile)
         df = spark.read.format("terracell_vector").option("path", path).option("layer", layer or "").load()
-        data = df.where("geometry is not null").select("geometry").head(1)
-        kind = kind or (read_wkb(bytes(data[0][0]))[0] if data else "Point")
-        df = df.withColumn("geometry", from_wkb(F.col("geometry"), kind))
+        df, kind = _wkb_layer(df, "geometry", kind)
     else:
         raise ValueError(f"unknown kind of file: {path}")
-    return df.where(F.col(geometry).isNotNull())
+    return df.where(F.col(geometry).isNotNull()), kind
 
 
 # GeoPackage and Shapefile, as a Python data source
