@@ -29,13 +29,19 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies: the one with the least doc_id. Rows without a doc_id stay."""
-    groups = materialise(partenum.jaccard_groups(docs, GRAM, PERCENT), "pipeline-groups")
-    gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = materialise(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-again")
+    groups = materialise(partenum.jaccard_rows(docs, GRAM, PERCENT), "pipeline-groups").where("doc_id is not null")
+    again = materialise(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-again")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+        gone = materialise(groups.where("doc_id <> component_id").select("doc_id"), "pipeline-gone")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # A doc_id may stand for several texts: rows go by doc_id and class of their own text.
+    classes = groups.where("cls is not null").select("doc_id", F.col("cls").alias("_cls"), "root").distinct()
+    least = classes.groupBy("root").agg(F.min(F.struct("doc_id", "_cls")).alias("least"))
+    gone = classes.join(least, "root").where("struct(doc_id, _cls) <> least").select("doc_id", "_cls")
+    gone = materialise(gone, "pipeline-gone")
+    rows = materialise(docs.withColumn("_cls", partenum.class_of(F.col("text"), GRAM)), "pipeline-classes")
+    kept = rows.join(gone, ["doc_id", "_cls"], "left_anti")
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "_cls"]).select(docs.columns)
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 

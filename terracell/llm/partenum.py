@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -317,6 +317,21 @@ def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
 
 def jaccard_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the least doc_id that links reach."""
+    return jaccard_rows(docs, gram, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def class_of(text: Column, gram: int) -> Column:
+    """The class of each text; null without a shingle."""
+
+    def of_slice(texts: pa.Array) -> pa.Array:
+        value, bounds = textbatch.shingle_sets(texts, gram)
+        return pa.array(_class_of(value, bounds)[0].view(np.int64), mask=np.diff(bounds) == 0)
+
+    return textbatch.scorer(text, of_slice, "long")
+
+
+def jaccard_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """:func:`jaccard_groups`, then ``cls``, the class of the row's own text, and ``root``, one class of its component."""
     docs = docs.select("doc_id", "text")
     arrow_bytes(docs.sparkSession)
     sized = materialise(docs.mapInArrow(_sizes_job(gram), "doc_id long, n_shingles long, cls long, other long"), "jaccard-sizes")
@@ -335,6 +350,6 @@ def jaccard_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) ->
         found = components(links.unionByName(verify(rest, sets, percent)))
     placed = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = materialise(placed.join(least, "root").select("cls", "component_id"), "jaccard-components")
+    placed = materialise(placed.join(least, "root").select("cls", "root", "component_id"), "jaccard-components")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return sized.join(placed, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return sized.join(placed, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), "cls", "root")

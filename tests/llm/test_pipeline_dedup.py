@@ -44,3 +44,16 @@ def test_documents_match_all_pairs(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     found = kept(spark, rows)
     assert found == sorted(least_of_groups(rows)) and not {255, 875, 944} & set(found)
+
+
+def test_repeated_ids_go_by_their_own_text(spark):
+    far = " ".join(f"x{i}" for i in range(40))
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:30], "other", *base[31:]])
+    base = " ".join(base)
+    rows = [(1, base), (2, near), (2, far), (3, "one text of its own"), (3, "quite another text here"), (3, "one text of its own"), (4, base), (4, near), (5, None), (5, ""), (5, "words of a fifth text"), (None, base)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.jaccard_dedup(spark, df, DATA)
+    got = sorted(((r.doc_id or 0), r.text or "") for r in out.collect())
+    assert out.columns == df.columns
+    assert got == sorted([(0, base), (1, base), (2, far), (3, "one text of its own"), (3, "quite another text here"), (5, ""), (5, "words of a fifth text")])
