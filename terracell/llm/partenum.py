@@ -6,9 +6,12 @@ band ``i`` covers the sets from its lower bound up to its upper bound over ``t``
 pair meets in the band of its smaller set. In a band the domain of shingles is parted in ``n1``
 parts, each in three. Of ``n1 = k / 2 + 1 + spare`` parts, ``spare + 1`` at least hold no more than
 one difference, and there one of the three pairs of thirds is equal: the signatures are the hashes
-of the set's projections on those pairs of thirds. A set with no more than ``spare`` parts that
-have an empty projection has an equal one that is not empty, so empty projections are signatures
-only for sets with more of them; such sets meet each other there.
+of the set's projections on those pairs of thirds. Projections with few elements meet by chance, so
+a set leaves out all with fewer than ``m`` elements, ``m`` being the most for which no more than
+``spare`` parts hold such a one: of two similar sets the one with the larger ``m`` has a part left
+where the projections are equal and hold ``m`` elements at least, so that both sign it. Sets with an
+empty projection in more than ``spare`` parts sign the others and, to meet each other, sign again
+with the domain parted anew; only in the last of ``LEVELS`` ways are empty projections signatures.
 
 Sets that are equal become one class. Classes that share a signature are candidates. The class of
 each signature that shares most signatures is compared with all others first, which makes stars.
@@ -19,8 +22,9 @@ already holds together are not listed.
 
 Defined results: null texts and texts without words have no shingles, no links, and are their own
 component; a text with fewer words than a shingle has all of them as one shingle; repeated rows
-are equal sets; rows without a doc_id take no part and have a null component; an empty table gives no rows; extra columns are ignored. Shingles and classes are
-64-bit hashes; a second hash of each class tells a collision of classes, which raises.
+are equal sets; rows without a doc_id take no part and have a null component; an empty table gives no rows; extra
+columns are ignored. Texts of any length are whole sets. Shingles and classes are 64-bit hashes; a second hash of each class
+tells a collision of classes, which raises.
 """
 
 from __future__ import annotations
@@ -39,9 +43,13 @@ from terracell.llm import textbatch
 from terracell.llm.components import components
 from terracell.llm.shared import arrow_bytes, materialise
 
-GRAM, PERCENT, RATIO = 4, 85, 1.4
-#: Bits and hashes of the Bloom filter, bins of a sketch.
-BLOOM_BITS, BLOOM_HASHES, SKETCH = 1 << 23, 3, 512
+GRAM, PERCENT = 4, 85
+#: Growth of the sizes of a band, share of spare parts, and how often sets with too many bare parts are signed anew.
+RATIO, SPARE, LEVELS = 1.3, 0.15, 10
+#: Signatures that are handled together, those of a bucket on average, and classes that a task remembers.
+FLUSH, BUCKET, SEEN = 1 << 20, 1 << 17, 1 << 20
+#: Bits of the Bloom filter for each element, the least and the most of them, its hashes, bins of a sketch.
+BLOOM_EACH, BLOOM_LEAST, BLOOM_MOST, BLOOM_HASHES, SKETCH = 16, 1 << 20, 1 << 28, 4, 512
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -53,10 +61,8 @@ def band(i: int, percent: int = PERCENT) -> tuple[int, int, int, int]:
     k = (100 - percent) * most // (100 + percent)
     if k <= 0:
         return low, end, 0, 0
-    parts, spare = k // 2 + 1, 0
-    for _ in range(20):
-        thin = 3 * math.exp(-2 / 3 * low / (parts + spare)) * (parts + spare)
-        spare = min(math.ceil(thin + 4 * math.sqrt(thin)), parts)
+    parts = k // 2 + 1
+    spare = math.ceil(SPARE * parts)
     return low, end, parts + spare, spare
 
 
@@ -67,57 +73,71 @@ def bands_of(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(ends, size, "right")
 
 
+#: The two thirds of a part that a signature is made of.
+_PAIRS = ((0, 1), (0, 2), (1, 2))
+
+
 def signatures(value: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the sets ``value[bounds[r]:bounds[r + 1]]``, and the row of each."""
     size = np.diff(bounds)
     own = bands_of(np.maximum(size, 1))
-    out, rows = [], []
     lows = np.array([band(i, percent)[0] for i in range(int(own.max(initial=0)) + 1)])
-    down = (own > 0) & (size * percent <= lows[own] * 100)  # also within reach of smaller sets
     row_of = np.repeat(np.arange(len(size)), size)
-    for step, chosen in ((0, size > 0), (1, (size > 0) & down)):
-        at = own - step
-        rows_in = np.flatnonzero(chosen)
-        if not len(rows_in):
-            continue
-        info = np.array([band(int(i), percent) for i in range(int(at.max()) + 1)])
-        n1, spare = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        n1[rows_in], spare[rows_in] = info[at[rows_in], 2], info[at[rows_in], 3]
-        parts = np.maximum(n1, 1)
-        base = np.zeros(len(size), np.int64)
-        base[rows_in] = np.concatenate([[0], np.cumsum(parts[rows_in])[:-1]])
-        mine = chosen[row_of]
-        v, r = value[mine], row_of[mine]
-        h = textbatch.mix(v + (at[r].astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
-        cell = (base[r] + (h % parts[r].astype(np.uint64)).astype(np.int64)) * 3 + ((h >> np.uint64(40)) % np.uint64(3)).astype(np.int64)
-        cells = 3 * int(parts[rows_in].sum())
-        count = np.bincount(cell, minlength=cells).reshape(-1, 3)
-        e = textbatch.mix(v ^ np.uint64(0xE7037ED1A0B428DB))
-        low = np.bincount(cell, (e & _LOW).astype(np.float64), cells).astype(np.uint64)
-        high = np.bincount(cell, (e >> _HALF).astype(np.float64), cells).astype(np.uint64)
-        total = ((high << _HALF) + low).reshape(-1, 3)
-        part_row = np.repeat(rows_in, parts[rows_in])
-        part_no = (np.arange(len(part_row)) - base[part_row]).astype(np.uint64)
-        salt = textbatch.mix(part_no * np.uint64(0x8EBC6AF09C88C6E3) + (at[part_row].astype(np.uint64) << np.uint64(48)))
-        single = n1[part_row] == 0
-        if single.any():
-            out.append(textbatch.mix(total[single].sum(1, dtype=np.uint64) + salt[single]))
-            rows.append(part_row[single])
-        if single.all():
-            continue
-        total, count, salt, part_row = total[~single], count[~single], salt[~single], part_row[~single]
-        pairs = ((0, 1), (0, 2), (1, 2))
-        bare = np.stack([count[:, a] + count[:, b] == 0 for a, b in pairs])
-        weak = np.bincount(part_row[bare.any(0)], minlength=len(size)) > spare
-        for j, (a, b) in enumerate(pairs):
-            use = ~bare[j] | weak[part_row]
-            out.append(textbatch.mix(textbatch.mix(total[use, a] + total[use, b]) + salt[use] + np.uint64(j + 1)))
-            rows.append(part_row[use])
+    out, rows = [], []
+    at, chosen = own.copy(), size > 0
+    while chosen.any():
+        weak = np.flatnonzero(chosen)
+        for level in range(LEVELS):
+            if not len(weak):
+                break
+            sig, row, weak = _level(value, row_of, at, weak, level, percent)
+            out.append(sig)
+            rows.append(row)
+        chosen &= at > 0
+        at = np.maximum(at - 1, 0)  # the band below, if within reach of its sets
+        chosen &= size * percent <= (np.append(lows[1:], 0)[at] - 1) * 100
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(rows)
 
 
+def _level(value: np.ndarray, row_of: np.ndarray, at: np.ndarray, rows: np.ndarray, level: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of ``rows`` in their bands ``at``, the row of each, and the rows that the next level must sign too."""
+    info = np.array([band(int(i), percent) for i in range(int(at[rows].max()) + 1)])
+    n1, spare = info[at[rows], 2], info[at[rows], 3]
+    parts = np.maximum(n1, 1)
+    start = np.concatenate([[0], np.cumsum(parts)[:-1]])
+    base, mine = np.full(len(at), -1, np.int64), np.ones(len(at), np.uint64)
+    base[rows], mine[rows] = start, parts.astype(np.uint64)
+    use = base[row_of] >= 0
+    v, r = value[use], row_of[use]
+    h = textbatch.mix(v + (at[r].astype(np.uint64) + np.uint64(1 + 1000 * level)) * np.uint64(0xA0761D6478BD642F))
+    cell = (base[r] + (h % mine[r]).astype(np.int64)) * 3 + ((h >> np.uint64(40)) % np.uint64(3)).astype(np.int64)
+    cells = 3 * int(parts.sum())
+    count = np.bincount(cell, minlength=cells).reshape(-1, 3)
+    e = textbatch.mix(v ^ np.uint64(0xE7037ED1A0B428DB))
+    low = np.bincount(cell, (e & _LOW).astype(np.float64), cells).astype(np.uint64)
+    high = np.bincount(cell, (e >> _HALF).astype(np.float64), cells).astype(np.uint64)
+    total = ((high << _HALF) + low).reshape(-1, 3)
+    which = np.repeat(np.arange(len(rows)), parts)
+    part_no = (np.arange(len(which)) - start[which]).astype(np.uint64)
+    salt = textbatch.mix(part_no * np.uint64(0x8EBC6AF09C88C6E3) + (at[rows][which].astype(np.uint64) << np.uint64(48)) + (np.uint64(level) << np.uint64(40)))
+    single = n1[which] == 0
+    out, of = [textbatch.mix(total[single].sum(1, dtype=np.uint64) + salt[single])], [rows[which[single]]]
+    held = np.stack([count[:, a] + count[:, b] for a, b in _PAIRS])
+    # Parts in order of the fewest elements of a pair of thirds: the one after the spare parts sets the row's least.
+    fewest = held.min(0)
+    least = fewest[np.lexsort((fewest, which))][start + spare]
+    weak = (n1 > 0) & (least == 0)
+    if level + 1 < LEVELS:
+        least = np.maximum(least, 1)
+    for j, (a, b) in enumerate(_PAIRS):
+        sign = ~single & (held[j] >= least[which])
+        out.append(textbatch.mix(textbatch.mix(total[sign, a] + total[sign, b]) + salt[sign] + np.uint64(j + 1)))
+        of.append(rows[which[sign]])
+    return np.concatenate(out), np.concatenate(of), rows[weak]
+
+
 def _class_of(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each set."""
     found = []
@@ -148,84 +168,148 @@ def _sizes_job(gram: int):
     return run
 
 
-def _signature_job(gram: int, percent: int):
+def _signature_job(gram: int, percent: int, buckets: int):
+    """Texts to blobs of a bucket: classes, how many signatures each has there, and 48 bits of each signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
         for _, value, bounds in _sets(batches, gram):
             cls, _ = _class_of(value, bounds)
-            sig, row = signatures(value, bounds, percent)
-            yield pa.RecordBatch.from_arrays([_long(sig), _long(cls[row])], ["sig", "cls"])
+            fresh = np.zeros(len(cls), bool)
+            for i, c in enumerate(cls.tolist()):  # copies of a text are signed once a task
+                if c not in seen:
+                    fresh[i] = True
+                    seen.add(c)
+            if len(seen) > SEEN:
+                seen.clear()
+            size = np.diff(bounds)
+            value = value[np.repeat(fresh, size)]
+            sig, row = signatures(value, np.concatenate([[0], np.cumsum(size[fresh])]), percent)
+            held.append((sig, cls[fresh][row]))
+            n += len(sig)
+            if n >= FLUSH:
+                yield _blobs(held, buckets)
+                held, n = [], 0
+        if n:
+            yield _blobs(held, buckets)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of ``sig, cls`` to ``sig, center, cls``: the least class of a signature and each other one."""
-    last_sig, center, last = None, 0, 0
-    for batch in batches:
-        sig, cls = (np.asarray(batch.column(c)) for c in ("sig", "cls"))
-        if not len(sig):
-            continue
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        new[0] = last_sig is None or sig[0] != last_sig
-        start = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        centers = np.where(start >= 0, cls[start], center)
-        before = np.concatenate([[last], cls[:-1]])
-        keep = ~new & (cls != before)
-        last_sig, center, last = sig[-1], centers[-1], cls[-1]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(centers[keep]), pa.array(cls[keep])], ["sig", "center", "cls"])
+def _blobs(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    sig, cls = (np.concatenate(x) for x in zip(*held))
+    bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((cls, bucket))
+    sig, cls, bucket = sig[order], cls[order], bucket[order].astype(np.int32)
+    edge = np.flatnonzero(np.diff(bucket)) + 1
+    starts = np.concatenate([[0], edge])
+    ends = np.concatenate([edge, [len(sig)]])
+    run = np.ones(len(sig), bool)
+    run[1:] = (cls[1:] != cls[:-1]) | (bucket[1:] != bucket[:-1])
+    runs = np.flatnonzero(run)
+    counts = np.diff(np.concatenate([runs, [len(sig)]])).astype(np.uint32)
+    low, high = sig.astype(np.uint32), (sig >> np.uint64(48)).astype(np.uint16)
+    ra, rb = np.searchsorted(runs, starts), np.searchsorted(runs, ends)
+    blob = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a, b)], pa.binary())
+    arrays = [pa.array(bucket[starts]), blob(cls[runs], ra, rb), blob(counts, ra, rb), blob(low, starts, ends), blob(high, starts, ends)]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "classes", "counts", "low", "high"])
 
 
-def _places(cls: np.ndarray) -> np.ndarray:
-    """The bits of classes in the filter, ``(BLOOM_HASHES, classes)``."""
-    h = textbatch.mix(cls.view(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
-    return np.stack([(h >> np.uint64(20 * k)) % np.uint64(BLOOM_BITS) for k in range(BLOOM_HASHES)]).astype(np.int64)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs in order of ``bucket`` to ``sig, center, cls``: one class of each signature and each other one.
 
+    A bucket is read by pieces of ``FLUSH`` signatures; of each piece one class a signature is held,
+    so a signature of very many classes needs no more memory.
+    """
+    now, sig, center = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def step() -> Iterator[pa.RecordBatch]:
+        nonlocal sig, center, held, n
+        s, c = (np.concatenate([first, *rest]) for first, rest in zip((sig, center), zip(*held)))
+        old = np.zeros(len(s), np.uint8)
+        old[len(sig) :] = 1  # a class that was chosen before stays
+        order = np.lexsort((c, old, s))
+        s, c = s[order], c[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+        keep = ~new & (c != c[first])
+        keep[1:] &= c[1:] != c[:-1]
+        sig, center, held, n = s[new], c[new], [], 0
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([_long(s[keep]), _long(c[first][keep]), _long(c[keep])], ["sig", "center", "cls"])
 
-def _bits_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = _places(np.asarray(batch.column("cls"))).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(at // 32), pa.array(np.left_shift(1, at % 32))], ["word", "bits"])
+        for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "classes", "counts", "low", "high"))):
+            if bucket != now:
+                if n:
+                    yield from step()
+                now, sig, center = bucket, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            classes, counts, low, high = (np.frombuffer(x, t) for x, t in zip(blobs, (np.uint64, np.uint32, np.uint32, np.uint16)))
+            value = textbatch.mix((high.astype(np.uint64) << np.uint64(32)) + low) ^ textbatch.mix(np.full(1, bucket, np.uint64))
+            held.append((value, np.repeat(classes, counts)))
+            n += len(value)
+            if n >= FLUSH:
+                yield from step()
+    if n:
+        yield from step()
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of ids in the filter, ``(BLOOM_HASHES, ids)``."""
+    h = textbatch.mix(ids.view(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    return np.stack([((h >> np.uint64(32)) + np.uint64(k) * (h & _LOW)) % np.uint64(bits) for k in range(BLOOM_HASHES)]).astype(np.int64)
+
+
+def _bits_job(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(np.asarray(batch.column("doc_id")), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at // 32), pa.array(np.left_shift(1, at % 32))], ["word", "bits"])
+
+    return run
 
 
 def bloom(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of a fixed size over ``cls``. Its words are joined by bit; at most ``BLOOM_BITS / 32`` rows reach the driver."""
-    words = wanted.mapInArrow(_bits_job, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    out = np.zeros(BLOOM_BITS // 32, np.int64)
-    for r in words:
-        out[r["word"]] = r["bits"]
+    """A Bloom filter over ``doc_id``. Its words are joined by bit; at most ``BLOOM_MOST / 32`` rows reach the driver."""
+    bits = min(max(1 << (BLOOM_EACH * wanted.count()).bit_length(), BLOOM_LEAST), BLOOM_MOST)
+    words = wanted.mapInArrow(_bits_job(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).astype(np.uint32)
     return out
 
 
 def _set_job(gram: int, filter_words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = filter_words.value
-        for _, value, bounds in _sets(batches, gram):
-            cls, _ = _class_of(value, bounds)
-            at = _places(cls)
-            use = ((words[at // 32] >> (at % 32)) & 1).all(0) & (np.diff(bounds) > 0)
-            rows = np.flatnonzero(use)
-            if not len(rows):
-                continue
-            keep = np.repeat(use, np.diff(bounds))
-            ends = np.concatenate([[0], np.cumsum(np.diff(bounds)[rows])])
-            sketches = [np.minimum(np.bincount((value[bounds[r] : bounds[r + 1]] >> np.uint64(7)) % np.uint64(SKETCH), minlength=SKETCH), 127).astype(np.int8).tobytes() for r in rows]
-            sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _long(value[keep]))
-            yield pa.RecordBatch.from_arrays([_long(cls[rows]), pa.array(sketches, pa.binary()), sets], ["cls", "sketch", "shingles"])
+        for batch in batches:
+            at = _places(np.asarray(batch.column("doc_id")), 32 * len(words))
+            batch = batch.filter(pa.array(((words[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1)).all(0)))
+            for _, value, bounds in _sets(iter([batch]), gram):
+                rows = np.flatnonzero(np.diff(bounds))
+                if not len(rows):
+                    continue
+                cls, _ = _class_of(value, bounds)
+                sketches = [np.minimum(np.bincount((value[bounds[r] : bounds[r + 1]] >> np.uint64(7)) % np.uint64(SKETCH), minlength=SKETCH), 127).astype(np.int8).tobytes() for r in rows]
+                ends = np.concatenate([[0], bounds[1:][rows]])
+                sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _long(value))
+                yield pa.RecordBatch.from_arrays([_long(cls[rows]), pa.array(sketches, pa.binary()), sets], ["cls", "sketch", "shingles"])
 
     return run
 
 
 def shingle_table(wanted: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
-    """``cls, sketch, shingles`` of the classes in ``wanted``.
+    """``cls, sketch, shingles`` of the classes in ``wanted`` (``cls, doc_id``: a document of each).
 
-    Texts stay where they are read: a Bloom filter of fixed size picks the sets that may be wanted,
-    and an exact join follows. A full filter lets all pass.
+    Texts stay where they are read: a Bloom filter picks the documents that may be wanted before
+    their words are looked at, and an exact join follows.
     """
-    wanted = materialise(wanted, "wanted")
     words = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
-    sets = docs.select("text").mapInArrow(_set_job(gram, words), "cls long, sketch binary, shingles array<long>")
+    sets = docs.select("doc_id", "text").mapInArrow(_set_job(gram, words), "cls long, sketch binary, shingles array<long>")
     return materialise(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "shingle-sets")
 
 
@@ -339,10 +423,13 @@ def jaccard_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     if not classes.where("clash").isEmpty():
         raise ValueError("two different shingle sets share a 64-bit class hash")
     classes = classes.select("cls", "first")
-    sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent), "sig long, cls long").repartition("sig").sortWithinPartitions("sig", "cls")
+    buckets = max(1 << 8, math.ceil((sized.agg(F.sum("n_shingles")).first()[0] or 0) / BUCKET))
+    sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent, buckets), "bucket int, classes binary, counts binary, low binary, high binary")
+    sigs = sigs.repartition("bucket").sortWithinPartitions("bucket")
     shared = materialise(sigs.mapInArrow(_shared, "sig long, center long, cls long"), "jaccard-shared")
     first = materialise(stars(shared), "jaccard-stars")
-    sets = shingle_table(first.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs.where("doc_id is not null"), gram)
+    wanted = first.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("first").alias("doc_id"))
+    sets = shingle_table(materialise(wanted, "wanted"), docs.where("doc_id is not null"), gram)
     links = materialise(verify(first, sets, percent), "jaccard-links")
     found = components(links)
     rest = materialise(remaining(first, found, sets, percent), "jaccard-rest")
