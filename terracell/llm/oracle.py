@@ -58,4 +58,44 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op4_quality_rules": OP4, "op8_chat_format": OP8}
+OP2 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings
+), sound AS (
+  SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS x, b.r AS y FROM sound a JOIN sound b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95
+), counts AS (
+  SELECT x AS r, count(*) AS n FROM links GROUP BY x
+), reach(r, c) AS (
+  SELECT r, vec_id FROM v WHERE vec_id IS NOT NULL UNION SELECT links.y, reach.c FROM reach JOIN links ON links.x = reach.r
+), least AS (
+  SELECT r, min(c) AS c FROM reach GROUP BY r
+)
+SELECT vec_id, CASE WHEN vec_id IS NOT NULL THEN cast(coalesce(n, 0) AS BIGINT) END AS n_links, c AS component_id, vec_id = c AS kept
+FROM v LEFT JOIN counts ON v.r = counts.r LEFT JOIN least ON v.r = least.r
+"""
+
+OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, k FROM (
+    SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS k FROM d)
+), sizes AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), common AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS n FROM s a JOIN s b ON a.k = b.k AND a.r <> b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y JOIN d i ON i.r = x JOIN d j ON j.r = y
+  WHERE 100 * common.n >= 85 * (p.n + q.n - common.n) AND i.doc_id IS NOT NULL AND j.doc_id IS NOT NULL
+), reach(r, c) AS (
+  SELECT r, doc_id FROM d UNION SELECT links.y, reach.c FROM reach JOIN links ON links.x = reach.r
+), least AS (
+  SELECT r, min(c) AS c FROM reach GROUP BY r
+)
+SELECT doc_id, cast(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id FROM d LEFT JOIN sizes ON d.r = sizes.r LEFT JOIN least ON d.r = least.r
+"""
+
+ORACLE_SQL = {"op2_embedding_near_dedup": OP2, "op3_jaccard_join": OP3, "op4_quality_rules": OP4, "op8_chat_format": OP8}
