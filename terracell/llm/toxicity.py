@@ -8,12 +8,14 @@ divided by a power of the number of words, and turned into a probability by a lo
 
 The lexicon, its weights, the learned exception phrases, the power and the curve are fitted on a
 bounded sample of labelled documents, drawn by hash: about ``MAX_TOXIC`` toxic and ``MAX_CLEAN``
-clean ones. Whole texts are scored.
+clean ones of at most ``MAX_TEXT`` characters. It holds the ``MAX_ENTRIES`` stems that tell most and
+as many of the most frequent phrases. Whole texts are scored.
 
 Defined results: null and empty texts have no hit and the score of no hit; of several labels of a
 document the greatest holds; null labels are none; rows without a doc_id are not learned from;
 with no toxic or no clean document in the sample every score is 0; an empty table gives no rows;
-extra columns are ignored.
+extra columns are kept, and a column
+``_score`` of the caller too: the score then has an underscore more.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -31,14 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
-from terracell.llm.shared import arrow_bytes
+from terracell.llm.shared import arrow_bytes, free_name
 
-MAX_TOXIC, MAX_CLEAN, MIN_STEM, MAX_STEM, MAX_ENTRIES, MIN_ODDS = 2500, 5000, 4, 12, 400, 1.2
+MAX_TOXIC, MAX_CLEAN, MAX_TEXT, MIN_STEM, MAX_STEM, MAX_ENTRIES, MIN_ODDS = 2500, 5000, 1 << 15, 4, 12, 400, 1.2
 #: Characters of other scripts and digits, and the letters they stand for.
 ALIKE = dict(zip("аеорсухкмтвнізѕјԁɡαεορυνικτ", "aeopcyxkmtbhizsjdgaeopuvikt")) | dict(zip("0134578@", "oieastba"))
 #: Phrases whose words are no insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "taking out the trash", "clown fish", "idiot proof", "pond scum", "sore loser rule")
 _FOLD: np.ndarray | None = None
+#: Folded form of what is dropped: marks that join a letter, and characters without a width.
+_NONE = 0
 
 
 def _folded(i: int) -> int:
@@ -46,6 +52,8 @@ def _folded(i: int) -> int:
     if 0xD800 <= i < 0xE000:
         return 32
     c = chr(i)
+    if unicodedata.category(c) in ("Mn", "Cf"):
+        return _NONE
     plain = unicodedata.normalize("NFKD", c).lower()[:1] if not c.isascii() else c.lower()
     plain = ALIKE.get(plain, plain)
     if plain == "l":
@@ -62,17 +70,14 @@ def _fold_table() -> np.ndarray:
 
 
 def fold(text: str) -> str:
-    """The folded text; combining marks are dropped."""
+    """The folded text; combining marks and characters without a width are dropped."""
     code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    marks = (code >= 0x300) & (code < 0x370)
-    if marks.any():
-        code = code[~marks]
     out = _fold_table()[np.minimum(code, 0xFFFF)]
     high = code > 0xFFFF
     if high.any():
         some, at = np.unique(code[high], return_inverse=True)
         out[high] = np.array([_folded(int(i)) for i in some], np.uint32)[at]
-    return out.tobytes().decode("utf-32-le")
+    return out[out != _NONE].tobytes().decode("utf-32-le")
 
 
 @dataclass
@@ -117,7 +122,11 @@ class Lexicon:
                 cover.append((start, end))
             else:
                 found[start] = max(found.get(start, (start, 0, 0.0)), (start, end, weight))  # the longest
-        return [h for h in found.values() if not any(s <= h[0] and h[0] < e for s, e in cover)] if cover else list(found.values())
+        if not cover:
+            return list(found.values())
+        cover.sort()
+        starts, reach = [s for s, _ in cover], list(accumulate((e for _, e in cover), max))
+        return [h for h in found.values() if not (at := bisect_right(starts, h[0])) or reach[at - 1] <= h[0]]
 
     def raw(self, text: str) -> tuple[float, int]:
         """Sum of the weights of the hits, number of words."""
@@ -192,7 +201,8 @@ def fit(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS) -
     for t, v in docs:  # a hit and the next word, in clean documents but hardly in toxic ones
         for start, _, _ in lex.hits(t):
             phrases.setdefault(" ".join(f" {t} "[start + 1 :].split(" ", 2)[:2]), [0, 0])[v] += 1
-    lex.exceptions += tuple(sorted(p for p, (c, x) in phrases.items() if c >= 10 and x == 0 and " " in p)[:MAX_ENTRIES])
+    often = [p for p, (c, x) in phrases.items() if c >= 10 and x == 0 and " " in p]
+    lex.exceptions += tuple(sorted(often, key=lambda p: (-phrases[p][0], p))[:MAX_ENTRIES])
     lex = Lexicon(lex.weights, lex.exceptions)
     place = {s: j for j, s in enumerate(entries)}
     count, n = np.zeros((len(docs), len(entries))), np.array([len(t.split()) for t, _ in docs])
@@ -228,13 +238,18 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     share = F.when(F.col("toxic") == 1, F.lit(max_toxic / counts[1])).when(F.col("toxic") == 0, F.lit(max_clean / counts[0]))
     dice = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
     chosen = usable.where(dice < share).limit(2 * (max_toxic + max_clean))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the sample
+    short = F.coalesce(F.length("text") <= MAX_TEXT, F.lit(True))
+    texts = docs.select("doc_id", "text").where(short).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
     rows = sorted((r["text"] or "", r["toxic"]) for r in texts.limit(2 * (max_toxic + max_clean)).collect())
     return fit(rows)
 
 
+def score_name(docs: DataFrame) -> str:
+    return free_name(docs.columns, "_score")
+
+
 def score_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Columns of ``docs``, then ``_score``."""
+    """Columns of ``docs``, then the score, under :func:`score_name`."""
     spark = docs.sparkSession
     arrow_bytes(spark)
     shared = spark.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES entries and phrases
@@ -244,4 +259,4 @@ def score_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         found = np.array([lex.raw(t) for t in texts.to_pylist()], float).reshape(-1, 2)
         return pa.array(lex.score(found[:, 0], found[:, 1]), pa.float64())
 
-    return docs.withColumn("_score", textbatch.scorer(F.col("text"), of_slice, "double"))
+    return docs.withColumn(score_name(docs), textbatch.scorer(F.col("text"), of_slice, "double"))
