@@ -3,7 +3,8 @@
 A paragraph is a line. Sparse hashed word n-grams (one to three words) feed a multinomial logistic
 regression over the licence families and an unknown class. It is trained here: on variations of
 the notices below, and for the unknown class on lines of a bounded sample of the documents,
-``SAMPLE`` of them drawn by hash, that are far from every notice, and on notices torn apart. The
+``SAMPLE`` of them of at most ``MAX_TEXT`` characters and ``LINES`` lines of each on average, both
+drawn by hash, that are far from every notice, and on notices torn apart. The
 probability that a prediction needs is calibrated on lines kept from training. A prediction is confirmed by comparing the paragraph with the family's
 notices: the share of the shorter one's word pairs that both hold.
 
@@ -16,6 +17,7 @@ hits each; an empty table gives no rows; extra columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import random
 from dataclasses import dataclass
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
-from terracell.llm.shared import arrow_bytes
+from terracell.llm.shared import arrow_bytes, free_name
 
 #: How licences are announced, by family.
 NOTICES = {
@@ -63,7 +65,7 @@ NOTICES = {
     "ISC": ("Licensed under the ISC License.", "ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     "Proprietary": ("Copyright. All rights reserved.", "All rights reserved.", "This document is confidential and proprietary and may not be reproduced without written permission."),
 }
-DIMENSIONS, SAMPLE, SEED, CONFIRM, LEAST_PAIRS, FALSE_RATE = 1 << 15, 600, 5, 0.6, 3, 0.001
+DIMENSIONS, SAMPLE, LINES, MAX_TEXT, SEED, CONFIRM, LEAST_PAIRS, FALSE_RATE = 1 << 15, 600, 20, 1 << 15, 5, 0.6, 3, 0.001
 RESULT = "array<struct<line:int,family:string,probability:double,similarity:double>>"
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?()[]{}\"'`*#%&$|<>")] = True
@@ -224,12 +226,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model whose unknown class is learned from a bounded sample of documents."""
     total = max(docs.count(), 1)
     dice = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.where(F.col("text").isNotNull() & (dice < min(1.0, sample / total))).select("text").limit(2 * sample).collect()
-    return train([x for r in sorted(r["text"] for r in rows) for x in r.split("\n") if x.strip()][: 20 * sample])
+    rows = docs.where((F.length("text") <= MAX_TEXT) & (dice < min(1.0, sample / total))).select("text").limit(2 * sample).collect()
+    lines = {x for r in rows for x in r["text"].split("\n") if x.strip()}
+    drawn = sorted(lines, key=lambda x: hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest())
+    return train(drawn[: LINES * sample])
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Columns of ``docs``, then ``_licenses``: the confirmed lines in order."""
+    """Columns of ``docs``, then the confirmed lines in order: ``_licenses``, or where that name is taken with an underscore more."""
     spark = docs.sparkSession
     arrow_bytes(spark)
     shared = spark.sparkContext.broadcast(learn(docs, sample))  # DIMENSIONS rows
@@ -239,4 +243,4 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def of_slice(texts: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(names, h)) for h in found] for found in shared.value.hits(texts)], kind)
 
-    return docs.withColumn("_licenses", textbatch.scorer(F.col("text"), of_slice, RESULT))
+    return docs.withColumn(free_name(docs.columns, "_licenses"), textbatch.scorer(F.col("text"), of_slice, RESULT))
