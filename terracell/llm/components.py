@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.shared import materialise
+from terracell.llm.shared import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     state = _state(now)
     while state[0]:
-        now = materialise(_small_star(_large_star(now)), "stars")
+        last, now = now, materialise(_small_star(_large_star(now)), "stars")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break

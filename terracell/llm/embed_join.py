@@ -11,7 +11,7 @@ its cosine is then computed in double precision.
 Pairs are counted and joined to trees where they are found; only counts and tree edges leave a
 task. Coordinates of unit vectors are bounded, so the grid has at most ``(2 / width + 3) ** 2``
 cells a block, whatever the number of vectors; the counts of its cells are read by the driver, and
-cells with more than ``CHUNK`` vectors are dealt as pairs of chunks. Equal vectors are one class.
+cells with more vectors than a :func:`chunk` are dealt as pairs of chunks. Equal vectors are one class.
 
 Defined results: a vector that is null, empty, zero or holds a null or non-finite component, or
 whose length is not finite, links with nothing; vectors of different dimensions don't link;
@@ -35,6 +35,8 @@ from terracell.llm.shared import materialise
 COSINE, BLOCK, CHUNK, SEED = 0.95, 8, 1 << 15, 17
 #: Width of a cell in radii: wider cells send fewer copies of a vector, narrower ones compare fewer pairs.
 WIDTH, TILE = 2.0, 256
+#: Numbers of a chunk's vectors together.
+CHUNK_NUMBERS = 1 << 22
 _ROTATIONS: dict[int, np.ndarray] = {}
 
 
@@ -46,6 +48,11 @@ def rotation(d: int) -> np.ndarray:
     return _ROTATIONS[d]
 
 
+def chunk(d: int) -> int:
+    """Vectors of a chunk: ``CHUNK``, or fewer where they are long."""
+    return max(min(CHUNK, CHUNK_NUMBERS // d), 256)
+
+
 def blocks_of(d: int) -> list[tuple[int, int]]:
     return [(a, min(a + BLOCK, d)) for a in range(0, d, BLOCK)]
 
@@ -217,7 +224,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     given = classes.select("d", "vec_id", "copies", "embedding")
     kind = classes.schema["embedding"].dataType.simpleString()  # single precision travels as such
     counted = given.mapInArrow(_count_job(cosine), "d long, cell long, n long, own long").groupBy("d", "cell").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
-    chunks = {(r["d"], r["cell"]): (math.ceil(r["own"] / CHUNK), math.ceil(r["n"] / CHUNK)) for r in counted.collect()}
+    chunks = {(r["d"], r["cell"]): (math.ceil(r["own"] / chunk(r["d"])), math.ceil(r["n"] / chunk(r["d"]))) for r in counted.collect()}
     dealt = given.mapInArrow(_deal_job(cosine, chunks), f"cell long, left int, right int, is_x boolean, is_y boolean, d long, vec_id long, copies long, embedding {kind}")
     found = materialise(dealt.groupBy("d", "cell", "left", "right").applyInArrow(_join_job(cosine), "vec_id long, n long, root long"), "vector-links")
     reach = components(found.where("root <> vec_id").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))

@@ -8,13 +8,15 @@ the lowest cross-entropy per symbol. A text is rejected if its cross-entropy is
 documents of that language have (calibrated on documents the models did not see), or if it has no
 letter.
 
-The models are fitted on a bounded sample: about ``SAMPLE`` labelled documents a language, drawn by
-hash over all that may be learned from; languages share ``MAX_SAMPLE`` in all. Whole texts are
+The models are fitted on a bounded sample: about ``SAMPLE`` labelled documents a language of at most
+``MAX_TEXT`` characters, drawn by hash over all that may be learned from; languages share
+``MAX_SAMPLE`` in all, at least 20 each, so that the ``MAX_SAMPLE / 20`` most frequent ones are learned. Whole texts are
 scored; equal words of a batch are scored once.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; with no
 labelled rows every text is ``und``; rows without a doc_id are not learned from; ties go to the
-language that is first by code point; an empty table gives no rows; extra columns are ignored.
+language that is first by code point; an empty table gives no rows; extra columns are kept, and
+a column ``_lang`` of the caller too: the result then has an underscore more.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
-from terracell.llm.shared import arrow_bytes
+from terracell.llm.shared import arrow_bytes, free_name
 
-ORDER, SAMPLE, MAX_SAMPLE, UNKNOWN, Z = 4, 800, 8000, "und", 6.0
+ORDER, SAMPLE, MAX_SAMPLE, MAX_TEXT, UNKNOWN, Z = 4, 800, 8000, 1 << 15, "und", 6.0
 _LETTER: np.ndarray | None = None
 
 
@@ -208,7 +210,8 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, sample: int = SAMPLE, max_sample: int = MAX_SAMPLE) -> Models | None:
     """Models from a bounded sample of the labelled documents that may be learned from."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    short = F.length("text") <= MAX_TEXT
+    known = docs.where(F.col("lang").isNotNull() & short & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_sample // 20).collect()}
     if not counts:
         return None
@@ -235,17 +238,21 @@ def learn(docs: DataFrame, sample: int = SAMPLE, max_sample: int = MAX_SAMPLE) -
     return m
 
 
+def lang_name(docs: DataFrame) -> str:
+    return free_name(docs.columns, "_lang")
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Columns of ``docs``, then ``_lang``: ``struct<lang, score, rejected>``."""
+    """Columns of ``docs``, then ``struct<lang, score, rejected>`` under :func:`lang_name`."""
     spark = docs.sparkSession
     arrow_bytes(spark)
     m = learn(docs, sample)
     if m is None:
-        return docs.withColumn("_lang", F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")))
+        return docs.withColumn(lang_name(docs), F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")))
     shared = spark.sparkContext.broadcast(m)  # bounded by the sample
 
     def of_slice(texts: pa.Array) -> pa.Array:
         lang, score, rejected = predict(shared.value, texts)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 
-    return docs.withColumn("_lang", textbatch.scorer(F.col("text"), of_slice, "struct<lang:string,score:double,rejected:boolean>"))
+    return docs.withColumn(lang_name(docs), textbatch.scorer(F.col("text"), of_slice, "struct<lang:string,score:double,rejected:boolean>"))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
 from terracell.llm.components import components
-from terracell.llm.shared import arrow_bytes, materialise
+from terracell.llm.shared import arrow_bytes, discard, materialise
 
 GRAM, PERCENT = 4, 85
 #: Growth of the sizes of a band, share of spare parts, and how often sets with too many bare parts are signed anew.
@@ -346,7 +346,9 @@ def stars(shared: DataFrame) -> DataFrame:
     weight = members.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
     members = materialise(members.join(weight, "cls"), "jaccard-members")
     best = members.groupBy("sig").agg(F.max(F.struct("w", "cls"))["cls"].alias("a"))
-    return members.join(best, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    found = materialise(members.join(best, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "jaccard-stars")
+    discard(members)
+    return found
 
 
 def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -374,6 +376,7 @@ def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     most_k = F.floor((100 - percent) * (size + F.floor(size * 100 / percent)) / (100 + percent)).cast("int")
     m = m.select("a", "cls", "root", "apart", size.alias("size"), most_k.alias("k"), F.array_except("shingles", "most").alias("plus"), F.array_except("most", "shingles").alias("minus"))
     m = materialise(m.withColumns({"added": F.size("plus"), "lacking": F.size("minus")}), "jaccard-differences")
+    discard(members)
     # Of the added elements only the rarest k + 1 are needed, and only those that another member has too.
     facts = ["a", "cls", "root", "apart", "size", "k", "added", "lacking"]
     plus = m.select(*facts, F.explode("plus").alias("g")).join(counts.where("2 * c <= n").select("a", "g", "c"), ["a", "g"])
@@ -386,6 +389,7 @@ def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     near = F.when(F.col("added") <= F.col("k"), tokens(2, F.array(F.lit(0).cast("bigint")))).otherwise(none)
     other = m.select(*facts, F.explode(F.concat(few, near)).alias("t")).select(*facts, "t.kind", "t.g", F.lit(0).alias("at"))
     keyed = materialise(plus.unionByName(other), "jaccard-tokens")
+    discard(m, counts, rooted)
     close = F.col("added") + F.col("lacking") <= F.col("k")
     x = keyed.where(F.col("apart") & ((F.col("kind") == 0) | (close == (F.col("kind") == 2))))
     x = x.select("a", "kind", "g", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "added", "lacking", "at")))
@@ -396,7 +400,9 @@ def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     fits = F.when(F.col("kind") == 0, left >= least).otherwise(F.abs(F.col("x_lacking") - F.col("lacking")) + F.col("x_added") + F.col("added") <= k)
     sizes = (100 * F.col("x_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("x_size"))
     pairs = x.join(keyed, ["a", "kind", "g"]).where((F.col("x_root") != F.col("root")) & sizes & fits)
-    return pairs.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b")).distinct()
+    found = materialise(pairs.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b")).distinct(), "jaccard-rest")
+    discard(keyed)
+    return found
 
 
 def jaccard_groups(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -427,16 +433,18 @@ def jaccard_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent, buckets), "bucket int, classes binary, counts binary, low binary, high binary")
     sigs = sigs.repartition("bucket").sortWithinPartitions("bucket")
     shared = materialise(sigs.mapInArrow(_shared, "sig long, center long, cls long"), "jaccard-shared")
-    first = materialise(stars(shared), "jaccard-stars")
+    first = stars(shared)
+    discard(shared)
     wanted = first.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("first").alias("doc_id"))
     sets = shingle_table(materialise(wanted, "wanted"), docs.where("doc_id is not null"), gram)
     links = materialise(verify(first, sets, percent), "jaccard-links")
     found = components(links)
-    rest = materialise(remaining(first, found, sets, percent), "jaccard-rest")
+    rest = remaining(first, found, sets, percent)
     if not rest.isEmpty():
         found = components(links.unionByName(verify(rest, sets, percent)))
     placed = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = materialise(placed.join(least, "root").select("cls", "root", "component_id"), "jaccard-components")
+    discard(sets, first)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return sized.join(placed, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), "cls", "root")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
-from terracell.llm.shared import arrow_bytes
+from terracell.llm.shared import arrow_bytes, free_name
 
 MODEL, N_BEST, MARK, STORE = "/opt/tokenizers/piece_bpe_32k.model", 4, "▁", 200_000
 #: ``others``: for each segmentation after the best, what it has in place of ``count`` ids of the best from ``at`` on, in order.
@@ -457,12 +457,12 @@ _BUILT: dict[int, Lattices] = {}
 
 
 def tokenise(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFrame:
-    """Columns of ``docs``, then ``_pieces``: the n best segmentations (``RESULT``), their scores, and whether decoding each restores the text."""
+    """Columns of ``docs``, then ``_pieces`` (with an underscore more where that name is taken): the n best segmentations (``RESULT``), their scores, and whether decoding each restores the text."""
     spark = docs.sparkSession
     arrow_bytes(spark, SLICE)
     shared = spark.sparkContext.broadcast(load(model))  # as large as the vocabulary
     of_slice = _encoder(shared, n)
-    return docs.withColumn("_pieces", textbatch.scorer(F.col("text"), of_slice, RESULT, SLICE))
+    return docs.withColumn(free_name(docs.columns, "_pieces"), textbatch.scorer(F.col("text"), of_slice, RESULT, SLICE))
 
 
 def _encoder(shared, n: int):

@@ -40,7 +40,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front of it as long as a column has that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def arrow_bytes(spark: SparkSession, limit: int = 4 << 20) -> None:
