@@ -17,14 +17,21 @@ GRAM, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of those learned; texts without letters and strange texts go."""
-    return kn_lang.identify(docs).where(~F.col("_lang.rejected")).select(docs.columns)
+    """Documents whose language is one of those learned; null texts, texts without letters and strange texts go.
+
+    Rows are judged one by one: repeated ones alike, and an empty table stays empty.
+    """
+    return kn_lang.identify(docs).where(~F.col(kn_lang.lang_name(docs))["rejected"]).select(docs.columns)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic.
+
+    Null and empty texts have no hit and stay, unless no hit is toxic by itself; repeated rows are
+    judged alike; without labels of both kinds every document stays; an empty table stays empty.
+    """
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_texts(docs, lexicon).where(F.col("_score") < 0.5).select(docs.columns)
+    return toxicity.score_texts(docs, lexicon).where(F.col(toxicity.score_name(docs)) < 0.5).select(docs.columns)
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +53,19 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    Null texts and texts without words are taken with their block and add no words; a null source is
+    a source; of rows of equal id and text as many are taken as come nearest; an empty table stays empty.
+    """
     return mixing.mixed_rows(docs).select(docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the best segmentation, what the others of the n best replace in it, their scores, and the round trip."""
+    """Token ids of the best segmentation, what the others of the n best replace in it, their scores, and the round trip.
+
+    Null and empty texts have no ids and the score 0; repeated rows give equal rows; an empty table gives none.
+    """
     p = piece_nbest.tokenise(docs.select("doc_id", "lang", "source", "text"))
     p = p.select("doc_id", "lang", "source", F.col("_pieces").alias("p"))
     return p.select("doc_id", "lang", "source", F.col("p.ids").alias("ids"), F.size("p.ids").cast("long").alias("n_pieces"), F.get("p.scores", F.lit(0)).alias("score"), F.element_at("p.scores", -1).alias("last_score"), F.col("p.exact").alias("exact"), F.col("p.scores").alias("scores"), F.col("p.others").alias("others"))
