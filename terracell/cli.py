@@ -93,7 +93,10 @@ def run_process(spark: SparkSession, a: argparse.Namespace) -> None:
     values = rasters.read_rasters(spark, catalogue)
     for layer in layers:
         features, kind = _read(spark, layer["path"], layer.get("layer"))
-        out = raster.associate(features, catalogue, grids, values, kind)
+        crs = vector.layer_crs(spark, layer["path"], layer.get("layer"))
+        if crs is None:
+            log.warning("%s has no known CRS; that of each grid is taken", layer["path"])
+        out = raster.associate(features, catalogue, grids, values, kind, crs)
         target = layer.get("output_path") or f"{layer['path']}.processed.parquet"
         if a.directory and layer.get("output_path") and not target.startswith("/") and "://" not in target:
             target = f"{a.directory.rstrip('/')}/{target}"

@@ -153,6 +153,11 @@ def box_polygon(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Colum
     return F.array(F.array(point(xmin, ymin), point(xmax, ymin), point(xmax, ymax), point(xmin, ymax), point(xmin, ymin)))
 
 
+def polygon_edges(polygon: Column) -> Column:
+    """The edges of all rings: ``array<struct<p, q>>``."""
+    return F.flatten(F.transform(polygon, lambda r: pairs(_closed(r))))
+
+
 def point_in_polygon(p: Column, polygon: Column) -> Column:
     """Even-odd test over all rings: shells and holes alike. The lower left border is inside."""
 
@@ -161,8 +166,7 @@ def point_in_polygon(p: Column, polygon: Column) -> Column:
         at = a["x"] + (p["y"] - a["y"]) * F.try_divide(b["x"] - a["x"], b["y"] - a["y"])
         return ((a["y"] > p["y"]) != (b["y"] > p["y"])) & (p["x"] < at)
 
-    edges = F.flatten(F.transform(polygon, lambda r: pairs(_closed(r))))
-    return F.size(F.filter(edges, crossed)) % 2 == 1
+    return F.size(F.filter(polygon_edges(polygon), crossed)) % 2 == 1
 
 
 def segments_cross(p: Column, q: Column, a: Column, b: Column) -> Column:
@@ -306,6 +310,26 @@ def reproject_line(line: Column, source: str, target: str) -> Column:
     return line if source.upper() == target.upper() else F.transform(line, lambda p: reproject(p, source, target))
 
 
+def reproject_geometry(geometry: Column, kind: str, source: str, target: str) -> Column:
+    """:func:`reproject` for a point, line or polygon."""
+    if source.upper() == target.upper():
+        return geometry
+    if kind == "point":
+        return reproject(geometry, source, target)
+    return reproject_line(geometry, source, target) if kind == "line" else F.transform(geometry, lambda r: reproject_line(r, source, target))
+
+
+def is_box(polygon: Column) -> Column:
+    """Whether a polygon is a rectangle along the axes: one ring of four corners that all are corners of its bounds."""
+    ring = F.element_at(polygon, 1)
+
+    def fits(b: Column) -> Column:
+        corner = lambda p: ((p["x"] == b["xmin"]) | (p["x"] == b["xmax"])) & ((p["y"] == b["ymin"]) | (p["y"] == b["ymax"]))
+        return F.forall(ring, corner) & (F.abs(ring_area(ring)) == (b["xmax"] - b["xmin"]) * (b["ymax"] - b["ymin"]))
+
+    return (F.size(polygon) == 1) & (F.size(F.array_distinct(ring)) == 4) & let(polygon_bounds(polygon), fits)
+
+
 def grid_levels(low: Column, high: Column) -> Column:
     """The integers from ``low`` to ``high`` in grid coordinates."""
     return upto(F.ceil(low), F.floor(high))

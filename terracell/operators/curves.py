@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from terracell.functions.expr import let
+
 CURVE_SCHEMA = StructType([StructField("intensity", DoubleType()), StructField("damage", DoubleType())])
 
 #: The columns of a curve catalogue; those marked True must have a value.
@@ -168,8 +170,8 @@ def evaluate(exposure: DataFrame, curves: DataFrame, intensity: str, out: str =
         F.sort_array(F.collect_list(F.struct("x0", "d0", "x1", "d1"))).alias("_s"), F.first("least").alias("_least"), F.first("most").alias("_most"), F.first("low").alias("_low"), F.first("high").alias("_high")
     )
     x = F.col(intensity).cast("double")
-    s = lambda k: F.element_at(F.filter("_s", lambda v: (v["x0"] <= x) & (F.coalesce(v["x1"], v["x0"]) >= x)), 1)[k]
-    inner = s("d0") + F.coalesce(F.try_divide(x - s("x0"), s("x1") - s("x0")) * (s("d1") - s("d0")), F.lit(0.0))
+    held = F.try_element_at(F.filter("_s", lambda v: (v["x0"] <= x) & (F.coalesce(v["x1"], v["x0"]) >= x)), F.lit(1))
+    inner = let(held, lambda s: s["d0"] + F.coalesce(F.try_divide(x - s["x0"], s["x1"] - s["x0"]) * (s["d1"] - s["d0"]), F.lit(0.0)))
     value = F.when(F.col("_low").isNull() | x.isNull(), F.lit(None).cast("double")).when(F.isnan(x), x).when(x < F.col("_low"), F.col("_least")).when(x > F.col("_high"), F.col("_most")).otherwise(inner)
     return exposure.join(seg, "curve_id", "left").withColumn(out, value).drop("_s", "_least", "_most", "_low", "_high")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracell.functions.grid import GridDefinition, in_grid
+from terracell.functions.expr import let
+from terracell.functions.grid import GridDefinition, in_grid, unravel
 from terracell.operators.split import split_for_grids
 
 
@@ -88,10 +89,12 @@ def rasterise(pieces: DataFrame, value: str, grid: GridDefinition, index_i: str
     _need(pieces, value, index_i, index_j)
     kind = pieces.schema[value].dataType.typeName()
     v = F.nanvl(F.col(value), F.lit(None)) if kind in ("double", "float") else F.col(value)
-    rows = pieces.where(F.col(index_i).isNotNull() & F.col(index_j).isNotNull())
-    rows = rows.select(F.col(index_i).cast("long").alias("i"), F.col(index_j).cast("long").alias("j"), v.alias("v")).where(in_grid(grid, F.col("i"), F.col("j")))
-    total = F.sum("v")
-    return rows.groupBy("i", "j").agg(F.coalesce(total, F.lit(0)).alias("value"))
+    # The index is evaluated once: a filter on it would copy its expression into every comparison.
+    at = F.struct(F.col(index_i).cast("long").alias("i"), F.col(index_j).cast("long").alias("j"))
+    cell = let(at, lambda c: F.when(in_grid(grid, c["i"], c["j"]), c["j"] * grid.width + c["i"]))
+    sums = pieces.select(cell.alias("cell"), v.alias("v")).groupBy("cell").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("value"))
+    row, column = unravel(F.col("cell"), grid.width)
+    return sums.where("cell is not null").select(column.alias("i"), row.alias("j"), "value")
 
 
 def rasterise_dense(pieces: DataFrame, value: str, grid: GridDefinition, fill=0.0, dtype: str | None = None, index_i: str = "index_i", index_j: str = "index_j") -> DataFrame:

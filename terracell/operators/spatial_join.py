@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.functions import geometry as g
-from terracell.functions.expr import upto
+from terracell.functions.expr import let, upto
 
 
 def _tiles(low: Column, high: Column, size: float) -> Column:
@@ -59,30 +59,38 @@ def prune_by_extent(df: DataFrame, box: Column, other: DataFrame, other_box: Col
 def edges_in_polygons(edges: DataFrame, polygons: DataFrame, size: float, line: str = "line", polygon: str = "polygon", out: str = "length", clip: Callable[[Column, Column], Column] | None = None, short: float | None = None) -> DataFrame:
     """Pairs of lines and polygons that meet, with the length inside.
 
-    ``clip(line, polygon)`` gives the length; by default the polygon's box is the clip, which is exact
-    for rectangles. Lines no longer than ``short`` get length 0.
+    ``clip(line, polygon)`` gives the length; by default it is exact for any polygon, holes included.
+    Lines no longer than ``short`` get length 0.
     """
     l, p = F.col(line), F.col(polygon)
+    if clip is None:  # what the clip needs of a polygon is found once a polygon
+        polygons = polygons.withColumns({"_is_box": g.is_box(p), "_bounds": g.polygon_bounds(p), "_edges": g.polygon_edges(p)})
     pairs = tile_join(edges, polygons, g.line_bounds(l), g.polygon_bounds(p), size, g.line_meets_polygon(l, p))
-    inside = (clip or (lambda a, b: g.length_in_box(a, g.polygon_bounds(b))))(l, p)
-    return pairs.withColumn(out, F.when(g.planar_length(l) <= short, F.lit(0.0)).otherwise(inside) if short is not None else inside)
+    inside = clip(l, p) if clip else F.when(F.col("_is_box"), g.length_in_box(l, F.col("_bounds"))).otherwise(_length_inside(l, F.col("_edges")))
+    return pairs.withColumn(out, F.when(g.planar_length(l) <= short, F.lit(0.0)).otherwise(inside) if short is not None else inside).drop("_is_box", "_bounds", "_edges")
 
 
 def length_in_polygon(line: Column, polygon: Column) -> Column:
     """Length of a line inside any polygon: cut at all crossings, pieces kept by their midpoints."""
-    edges = F.flatten(F.transform(polygon, lambda r: g.pairs(F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1))))))
+    return let(g.polygon_edges(polygon), lambda edges: _length_inside(line, edges))
 
+
+def _length_inside(line: Column, edges: Column) -> Column:
     def one(s: Column) -> Column:
         p, q = s["p"], s["q"]
 
         def at(e: Column) -> Column:
             dx, dy, ex, ey = q["x"] - p["x"], q["y"] - p["y"], e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
-            turn = dx * ey - dy * ex
-            return F.try_divide((e["p"]["x"] - p["x"]) * ey - (e["p"]["y"] - p["y"]) * ex, turn)
+            return F.try_divide((e["p"]["x"] - p["x"]) * ey - (e["p"]["y"] - p["y"]) * ex, dx * ey - dy * ex)
+
+        def odd(t: Column) -> Column:
+            x, y = p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"])
+            passed = lambda e: ((e["p"]["y"] > y) != (e["q"]["y"] > y)) & (x < e["p"]["x"] + (y - e["p"]["y"]) * F.try_divide(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]))
+            return F.size(F.filter(edges, passed)) % 2 == 1
 
-        ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(edges, at), lambda t: (t > 0) & (t < 1)))))
-        mid = lambda t: g.point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
-        inside = F.filter(g.pairs(ts), lambda t: g.point_in_polygon(mid((t["p"] + t["q"]) / 2), polygon))
+        cuts = F.filter(F.transform(edges, at), lambda t: (t > 0) & (t < 1))
+        spans = let(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts))), g.pairs)
+        inside = F.filter(spans, lambda t: let((t["p"] + t["q"]) / 2, odd))
         return F.aggregate(inside, F.lit(0.0), lambda a, t: a + t["q"] - t["p"]) * g.length(p, q)
 
     return F.aggregate(F.transform(g.pairs(line), one), F.lit(0.0), lambda a, v: a + v)

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terracell.functions.expr import let, pairs, upto
-from terracell.functions.geometry import LINE, POLYGON, length, point, reproject_line
+from terracell.functions.geometry import LINE, POLYGON, length, point, reproject_geometry
 from terracell.functions.grid import GridDefinition, apply_indices, cell_indices
 
 #: Crossings of both line families that are nearer than this, as a share of the segment, are one corner.
@@ -57,12 +57,11 @@ def merge_lines(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float
 def merged(parts: Column) -> Column:
     """:func:`merge_lines` over Arrow batches."""
 
-    @F.arrow_udf(f"array<{LINE}>")
     def run(column: pa.Array) -> pa.Array:
         out = [None if v is None else [[{"x": x, "y": y} for x, y in line] for line in merge_lines([[(p["x"], p["y"]) for p in line] for line in v])] for v in column.to_pylist()]
         return pa.array(out, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
-    return run(parts)
+    return F.arrow_udf(run, f"array<{LINE}>").asNondeterministic()(parts)  # else it is copied into what explodes it
 
 
 def prepare_points(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -345,15 +344,13 @@ def split_ring(ring: Column, grid: GridDefinition) -> Column:
 def split_for_grids(df: DataFrame, grids: list[GridDefinition], kind: str = "line", crs: str | None = None, geometry: str = "geometry", bounded: bool = False, splitter: Callable | None = None) -> DataFrame:
     """Cuts by each grid in turn; adds ``i_k, j_k`` for grid ``k``, and ``split_k`` where features are cut.
 
-    Lines are taken to the CRS of each grid and back. ``splitter(df, grid)`` replaces the cutting.
+    Features are taken from ``crs`` to the CRS of each grid and back. ``splitter(df, grid)`` replaces the cutting.
     Indices of earlier grids hold for all pieces of a piece.
     """
     for k, grid in enumerate(grids):
         source = crs or grid.crs
         if source.upper() != grid.crs.upper():
-            if kind != "line":
-                raise ValueError("only lines are taken to another CRS")
-            df = df.withColumn(geometry, reproject_line(F.col(geometry), source, grid.crs))
+            df = df.withColumn(geometry, reproject_geometry(F.col(geometry), kind, source, grid.crs))
         if splitter is not None:
             df = splitter(df, grid)
         elif kind == "line":
@@ -364,7 +361,7 @@ def split_for_grids(df: DataFrame, grids: list[GridDefinition], kind: str = "lin
             df = df.withColumn(f"split_{k}", F.col("split"))
         df = apply_indices(df, grid, geometry, kind, f"i_{k}", f"j_{k}")
         if source.upper() != grid.crs.upper():
-            df = df.withColumn(geometry, reproject_line(F.col(geometry), grid.crs, source))
+            df = df.withColumn(geometry, reproject_geometry(F.col(geometry), kind, grid.crs, source))
     return df
 
 

@@ -48,6 +48,27 @@ def supplier_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", box_polygon(x, y, x + 1 + k % 5, y + 0.5 + k % 4).alias("polygon"))
 
 
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``s_suppkey, polygon``: the lower left halves of the rectangles."""
+    k = F.col("s_suppkey")
+    x, y, w, h = (k % 40) + 0.5, (k % 9) + 0.25, 1 + k % 5, 0.5 + k % 4
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array(F.array(point(x, y), point(x + w, y), point(x, y + h), point(x, y))).alias("polygon"))
+
+
+def l_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_nationkey, polygon``: a box of 8 by 1 and on its left a box of 3 by 1.5, for each nation."""
+    k = F.col("n_nationkey")
+    x, y = (k % 5) * 10.0 + 0.1, F.floor(k / 5) * 3.0 + 0.1
+    ring = [(0, 0), (8, 0), (8, 1), (3, 1), (3, 2.5), (0, 2.5), (0, 0)]
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array(F.array(*(point(x + a, y + b) for a, b in ring))).alias("polygon"))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, x, y, point``: the distinct places of line items."""
+    rows = item_points(spark, sf_dir).select("x", "y").distinct()
+    return rows.select(F.concat_ws("/", "x", "y").alias("id"), "x", "y", point(F.col("x"), F.col("y")).alias("point"))
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_nationkey, n_regionkey, polygon``: a rectangle for each nation, without overlaps, with gaps between."""
     k = F.col("n_nationkey")

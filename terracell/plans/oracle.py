@@ -71,7 +71,7 @@ def _ead(source: str, value: str = "damage", threshold: float | None = None, out
 
 BOXES = "boxes AS (SELECT s_suppkey, s_suppkey % 40 + 0.5::DOUBLE AS xmin, s_suppkey % 9 + 0.25::DOUBLE AS ymin, s_suppkey % 40 + 0.5::DOUBLE + 1 + s_suppkey % 5 AS xmax, s_suppkey % 9 + 0.25::DOUBLE + 0.5::DOUBLE + s_suppkey % 4 AS ymax FROM supplier)"
 REGIONS = "regions AS (SELECT n_nationkey, (n_nationkey % 5) * 10.0::DOUBLE AS xmin, (n_nationkey // 5) * 3.0::DOUBLE AS ymin, (n_nationkey % 5) * 10.0::DOUBLE + 8 AS xmax, (n_nationkey // 5) * 3.0::DOUBLE + 2.5::DOUBLE AS ymax FROM nation)"
-NODES = "nodes AS (SELECT c_custkey, ((c_custkey * 7) % 97) * 0.5::DOUBLE AS x, ((c_custkey * 5) % 53) * 0.25::DOUBLE AS y FROM customer WHERE c_custkey % 11 = 0)"
+NODES = "nodes AS (SELECT c_custkey, ((c_custkey * 7) % 97) * 0.5::DOUBLE AS x, ((c_custkey * 5) % 53) * 0.25::DOUBLE AS y FROM customer)"
 ASKED = "asked AS (SELECT p_partkey, (p_partkey % 89) * 0.5::DOUBLE AS x, (p_partkey % 47) * 0.25::DOUBLE AS y FROM part)"
 NEAREST = f"{NODES}, {ASKED}, near AS (SELECT p_partkey, arg_min(c_custkey, (d, c_custkey)) AS c_custkey, min(d) AS distance FROM (SELECT p_partkey, c_custkey, sqrt((a.x - n.x) ** 2 + (a.y - n.y) ** 2) AS d FROM asked a, nodes n) GROUP BY p_partkey)"
 ARCS = """edges AS (SELECT n_nationkey AS edge_id, n_nationkey AS u, (n_nationkey + 1) % 25 AS v, (1 + (n_nationkey * 7) % 5)::DOUBLE AS w FROM nation
@@ -175,7 +175,7 @@ round(initial_cost_usd_per_km + routine_usd_per_km + periodic_usd_per_km, 4) AS
 c AS (SELECT edge, r.kind, (initial_cost_usd_per_km + routine_usd_per_km + periodic_usd_per_km) / 1e3 * l AS cost, d * (SELECT sum(f) FROM years) AS benefit FROM r JOIN present p ON r.kind = p.kind)
 SELECT edge, kind, round(cost, 3) AS cost, round(benefit, 3) AS benefit, round(benefit / cost, 5) AS bcr FROM c""",
     "semi_exposed": f"WITH {EXPOSURE} SELECT p_partkey, p_partkey % 500 AS edge FROM part WHERE p_partkey % 500 IN (SELECT edge FROM e WHERE depth > 3)",
-    "anti_unmatched": "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti_unmatched": "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "left_multi_key": f"""WITH {EXPOSURE}, a AS (SELECT edge, hazard, sum(length) AS length FROM e GROUP BY ALL), b AS (SELECT edge, hazard, sum(damage) AS damage FROM e WHERE rp = 2 GROUP BY ALL)
 SELECT a.edge, a.hazard, length, coalesce(damage, 0) AS damage FROM a LEFT JOIN b ON a.edge = b.edge AND a.hazard = b.hazard""",
     "hazard_file_attributes": """WITH f AS (SELECT n_nationkey, n_nationkey % 3 * 10 + 10 AS rp, n_nationkey % 4 AS low FROM nation)
@@ -195,12 +195,12 @@ SELECT l_orderkey, round(sum(2 * 6371 * atan2(sqrt(a), sqrt(1 - a))), 4) AS km F
     "polygon_area_centroid": f"""WITH {BOXES}, p AS (SELECT s_suppkey, (xmax - xmin) * (ymax - ymin) AS a, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy, 0.25 * 0.125 AS h, xmin + 0.375 AS hx, ymin + 0.3125 AS hy FROM boxes)
 SELECT s_suppkey, round(a - h, 6) AS area, round((a * cx - h * hx) / (a - h), 6) AS x, round((a * cy - h * hy) / (a - h), 6) AS y FROM p""",
     "layer_bounds": f"WITH {LINES} SELECT min(least(x0, x1)) AS xmin, min(least(y0, y1)) AS ymin, max(greatest(x0, x1)) AS xmax, max(greatest(y0, y1)) AS ymax FROM seg",
-    "shortest_path_cost": f"WITH {ARCS}, {_relax('SELECT n_nationkey AS source FROM nation WHERE n_nationkey % 6 = 0', 24)} SELECT source::BIGINT AS source, node::BIGINT AS destination, cost FROM r24",
-    "shortest_path_rounds": f"WITH {ARCS}, {_relax('SELECT n_nationkey AS source FROM nation WHERE n_nationkey % 6 = 1', 4)} SELECT source::BIGINT AS source, node::BIGINT AS node, cost FROM r4",
+    "shortest_path_cost": f"WITH {ARCS}, {_relax('SELECT n_nationkey AS source FROM nation', 24)} SELECT source::BIGINT AS source, node::BIGINT AS destination, cost FROM r24",
+    "shortest_path_rounds": f"WITH {ARCS}, {_relax('SELECT n_nationkey AS source FROM nation', 4)} SELECT source::BIGINT AS source, node::BIGINT AS node, cost FROM r4",
     "od_path_sums": f"""WITH {ARCS}, {_relax("SELECT n_nationkey AS source FROM nation", 24)} SELECT n_nationkey::BIGINT AS origin, ((n_nationkey * 3 + 2) % 25)::BIGINT AS destination, (n_nationkey % 2)::BIGINT AS goods, cost
 FROM nation JOIN r24 ON source = n_nationkey AND node = (n_nationkey * 3 + 2) % 25""",
-    "route_with_failures": f"""WITH {ARCS}, ok AS (SELECT * FROM edges WHERE edge_id NOT IN (0, 3, 103, 112)), {_relax("SELECT n_nationkey AS source FROM nation WHERE n_nationkey IN (0, 4)", 24, "ok")}
-SELECT s.n_nationkey::BIGINT AS source, d.n_nationkey::BIGINT AS destination, cost FROM nation s CROSS JOIN nation d LEFT JOIN r24 ON source = s.n_nationkey AND node = d.n_nationkey WHERE s.n_nationkey IN (0, 4)""",
+    "route_with_failures": f"""WITH {ARCS}, ok AS (SELECT * FROM edges WHERE edge_id NOT IN (0, 3, 103, 112)), {_relax("SELECT n_nationkey AS source FROM nation", 24, "ok")}
+SELECT s.n_nationkey::BIGINT AS source, d.n_nationkey::BIGINT AS destination, cost FROM nation s CROSS JOIN nation d LEFT JOIN r24 ON source = s.n_nationkey AND node = d.n_nationkey""",
     "topology_nodes": f"""WITH {LINES}, ends AS (SELECT l_orderkey, arg_min((x0, y0), s) AS a, arg_max((x1, y1), s) AS b FROM seg GROUP BY 1),
 n AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS node_id FROM (SELECT a AS p FROM ends UNION SELECT b FROM ends))
 SELECT l_orderkey, a.node_id AS from_node, b.node_id AS to_node FROM ends JOIN n a ON ends.a = a.p JOIN n b ON ends.b = b.p""",
@@ -209,3 +209,77 @@ inside AS (SELECT l_orderkey, min(n_nationkey) AS k FROM b JOIN regions ON (x0 +
 met AS (SELECT l_orderkey, min(n_nationkey) AS k FROM b JOIN regions ON x0 <= xmax AND x1 >= xmin AND y0 <= ymax AND y1 >= ymin GROUP BY 1)
 SELECT b.l_orderkey, coalesce(inside.k, met.k) AS n_nationkey FROM b LEFT JOIN inside ON b.l_orderkey = inside.l_orderkey LEFT JOIN met ON b.l_orderkey = met.l_orderkey""",
 }
+
+
+PLACES = f"{ITEMS}, places AS (SELECT DISTINCT x, y FROM items)"
+SHEET = "sheet AS (SELECT n_nationkey AS depth, n_nationkey * 0.03125::DOUBLE AS A, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey * 0.015625::DOUBLE END AS B FROM nation), points AS (SELECT 'A' AS curve_id, depth::DOUBLE AS intensity, A AS damage FROM sheet UNION ALL SELECT 'B', depth::DOUBLE, B FROM sheet WHERE B IS NOT NULL)"
+
+
+def _inside(x0: str, y0: str, x1: str, y1: str) -> str:
+    """The share of a segment of ``seg`` that a box holds."""
+
+    def span(a: str, b: str, low: str, high: str) -> tuple[str, str]:
+        t, u = f"({low} - {a}) / ({b} - {a})", f"({high} - {a}) / ({b} - {a})"
+        still = f"{a} BETWEEN {low} AND {high}"
+        return f"CASE WHEN {a} <> {b} THEN least({t}, {u}) WHEN {still} THEN 0 ELSE 2 END", f"CASE WHEN {a} <> {b} THEN greatest({t}, {u}) WHEN {still} THEN 1 ELSE -1 END"
+
+    (a, b), (c, d) = span("x0", "x1", x0, x1), span("y0", "y1", y0, y1)
+    return f"greatest(0::DOUBLE, least(1::DOUBLE, {b}, {d}) - greatest(0::DOUBLE, {a}, {c}))"
+
+
+def _meets(grid) -> str:
+    (u0, v0), (u1, v1) = _inverse(grid, "x0", "y0"), _inverse(grid, "x1", "y1")
+
+    def span(a: str, b: str, high: int) -> tuple[str, str]:
+        still = f"{a} BETWEEN 0 AND {high}"
+        return f"CASE WHEN {a} <> {b} THEN least((0 - {a}) / ({b} - {a}), ({high} - {a}) / ({b} - {a})) WHEN {still} THEN 0 ELSE 2 END", f"CASE WHEN {a} <> {b} THEN greatest((0 - {a}) / ({b} - {a}), ({high} - {a}) / ({b} - {a})) WHEN {still} THEN 1 ELSE -1 END"
+
+    (a, b), (c, d) = span(u0, u1, grid.width), span(v0, v1, grid.height)
+    return f"greatest(0, {a}, {c}) <= least(1, {b}, {d})"
+
+
+TURN = "((x1 - x0) * 12.0::DOUBLE - (y1 - y0) * 20.0::DOUBLE)"
+ORACLE_SQL |= {
+    "split_line_index": f"""WITH {_cuts(GRID_A)}, bounds AS (SELECT l_orderkey, s, t FROM ts WHERE r < 1 UNION ALL SELECT l_orderkey, s, unnest([0.0::DOUBLE, 1.0]) FROM seg),
+runs AS (SELECT l_orderkey, s, t, lead(t) OVER (PARTITION BY l_orderkey, s ORDER BY t) AS t1 FROM bounds),
+ended AS (SELECT DISTINCT l_orderkey, s + 1 AS s FROM ts WHERE r >= 1),
+marked AS (SELECT r.l_orderkey, r.s, t, r.t1, CASE WHEN t > 0 OR e.s IS NOT NULL THEN 1 ELSE 0 END AS cut FROM runs r LEFT JOIN ended e ON e.l_orderkey = r.l_orderkey AND e.s = r.s WHERE r.t1 IS NOT NULL),
+numbered AS (SELECT *, sum(cut) OVER (PARTITION BY l_orderkey ORDER BY s, t) AS piece FROM marked),
+placed AS (SELECT n.l_orderkey, piece, x0 + t * (x1 - x0) AS xa, x0 + n.t1 * (x1 - x0) AS xb, y0 + t * (y1 - y0) AS ya, y0 + n.t1 * (y1 - y0) AS yb, (n.t1 - t) * sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM numbered n JOIN seg USING (l_orderkey, s)),
+box AS (SELECT l_orderkey, piece, (least(min(xa), min(xb)) + greatest(max(xa), max(xb))) / 2 + {EPS} AS x, (least(min(ya), min(yb)) + greatest(max(ya), max(yb))) / 2 + {EPS} AS y, sum(len) AS len FROM placed GROUP BY ALL),
+cell AS (SELECT floor({_inverse(GRID_A, "x", "y")[0]})::BIGINT AS i, floor({_inverse(GRID_A, "x", "y")[1]})::BIGINT AS j, len FROM box),
+held AS (SELECT CASE WHEN i BETWEEN 0 AND {GRID_A.width - 1} AND j BETWEEN 0 AND {GRID_A.height - 1} THEN i ELSE -1 END AS index_i, CASE WHEN i BETWEEN 0 AND {GRID_A.width - 1} AND j BETWEEN 0 AND {GRID_A.height - 1} THEN j ELSE -1 END AS index_j, len FROM cell)
+SELECT index_i, index_j, round(sum(len), 4) AS length FROM held GROUP BY 1, 2 HAVING round(sum(len), 4) > 0""",
+    "segment_facts": f"""WITH {LINES}, f AS (SELECT *, ((10.0::DOUBLE - x0) * 12.0::DOUBLE - (0.1::DOUBLE - y0) * 20.0::DOUBLE) / nullif({TURN}, 0) AS t, ((10.0::DOUBLE - x0) * (y1 - y0) - (0.1::DOUBLE - y0) * (x1 - x0)) / nullif({TURN}, 0) AS u FROM seg)
+SELECT coalesce(t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1, false) AS crosses, {_meets(GRID_SMALL)} AS meets, count(*) AS n, round(sum(atan2(x1 - x0, y1 - y0)), 4) AS bearing, sum((x0 + x1) / 2) AS mx FROM f GROUP BY 1, 2""",
+    "single_cell_numbers": f"WITH {_cells(GRID_B)} SELECT index_i + index_j * {GRID_B.width} AS cell, count(*) AS n FROM cells WHERE index_i >= 0 GROUP BY 1",
+    "grids_of_extents": "SELECT w AS cell_width, ceil(48 / w)::BIGINT AS width, ceil(13 / (w / 2))::BIGINT AS height, 0.5::DOUBLE AS x, 0.25::DOUBLE AS y FROM (VALUES (1.0::DOUBLE), (2.0), (5.0), (7.0)) t(w)",
+    "almost_equal_values": """WITH v AS (SELECT (l_extendedprice * 0.1::DOUBLE) * 3 AS x, l_extendedprice * 0.3::DOUBLE AS y, l_extendedprice * 0.3::DOUBLE + 1e-6::DOUBLE AS z FROM lineitem)
+SELECT abs(x - y) <= pow(2::DOUBLE, -52) * abs(x + y) * 3 OR abs(x - y) < pow(2::DOUBLE, -1022) AS near, x = y AS same, abs(x - z) <= pow(2::DOUBLE, -52) * abs(x + z) * 3 OR abs(x - z) < pow(2::DOUBLE, -1022) AS far, count(*) AS n FROM v GROUP BY 1, 2, 3""",
+    "consecutive_distinct": """WITH v AS (SELECT l_orderkey, (l_quantity % 3)::INT AS v, row_number() OVER w AS n, lag((l_quantity % 3)::INT) OVER w AS before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, (l_quantity % 3)::INT))
+SELECT l_orderkey, string_agg(v::VARCHAR, ',' ORDER BY n) AS kept FROM v WHERE before IS NULL OR before <> v GROUP BY 1""",
+    "points_in_extent": f"WITH {ITEMS} SELECT x BETWEEN 0 AND 24 AND y BETWEEN 0 AND 8 AS inside, count(*) AS n FROM items GROUP BY 1",
+    "rounded_lines": f"WITH {ITEMS}, v AS (SELECT l_orderkey, round_even(x, 1) AS x, round_even(y, 1) AS y, count(*) OVER (PARTITION BY l_orderkey) AS n FROM items) SELECT l_orderkey, round(sum(x), 4) AS x, round(sum(y), 4) AS y FROM v WHERE n >= 2 GROUP BY 1",
+    "triangle_points": f"WITH {PLACES}, {BOXES} SELECT s_suppkey, count(*) AS n FROM places JOIN boxes ON x >= xmin AND y >= ymin AND y < ymax AND x < xmax + (y - ymin) * ((xmin - xmax) / (ymax - ymin)) GROUP BY 1",
+    "triangle_box_points": f"WITH {PLACES}, {BOXES} SELECT x, y FROM places WHERE EXISTS (SELECT 1 FROM boxes WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax)",
+    "first_polygon": f"WITH {PLACES}, {BOXES} SELECT x, y, (SELECT min(s_suppkey) FROM boxes WHERE x >= xmin AND x < xmax AND y >= ymin AND y < ymax) AS s_suppkey FROM places",
+    "pruned_places": f"WITH {PLACES}, {BOXES}, e AS (SELECT min(xmin) AS a, min(ymin) AS b, max(xmax) AS c, max(ymax) AS d FROM boxes WHERE s_suppkey <= 3) SELECT x, y FROM places, e WHERE x BETWEEN a AND c AND y BETWEEN b AND d",
+    "edge_l_shape_length": f"""WITH {LINES}, l AS (SELECT n_nationkey, (n_nationkey % 5) * 10.0::DOUBLE + 0.1::DOUBLE AS a, (n_nationkey // 5) * 3.0::DOUBLE + 0.1::DOUBLE AS b FROM nation),
+k AS (SELECT n_nationkey, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) * ({_inside("a", "b", "(a + 8)", "(b + 1)")} + {_inside("a", "(b + 1)", "(a + 3)", "(b + 2.5::DOUBLE)")}) AS len FROM seg, l)
+SELECT n_nationkey, round(sum(len), 4) AS length FROM k GROUP BY 1 HAVING sum(len) > 0""",
+    "triangle_cell_total": f"WITH {BOXES} SELECT s_suppkey, round((xmax - xmin) * (ymax - ymin) / 2, 6) AS area FROM boxes WHERE s_suppkey % 9 < 8",
+    "triangle_area_centroid": f"WITH {BOXES} SELECT s_suppkey, round((xmax - xmin) * (ymax - ymin) / 2, 6) AS area, round(xmin + (xmax - xmin) / 3, 6) AS x, round(ymin + (ymax - ymin) / 3, 6) AS y FROM boxes",
+    "split_point_cells": f"WITH {_cells(GRID_A)}, {_cells(GRID_B).partition(', cells AS ')[2].join(['b AS ', ''])} SELECT {', '.join('a.' + k for k in KEYS.split(', '))}, a.index_i AS i_0, a.index_j AS j_0, b.index_i AS i_1, b.index_j AS j_1 FROM cells a POSITIONAL JOIN b",
+    "reprojected_point_cells": f"""WITH {PLACES}, m AS (SELECT x, y, radians(x) * 6378137 AS east, ln(tan(pi() / 4 + radians(y) / 2)) * 6378137 AS north FROM places), c AS (SELECT *, floor((east + 12345) / 100000)::BIGINT AS i, floor((north + 54321) / 100000)::BIGINT AS j FROM m)
+SELECT x, y, CASE WHEN i BETWEEN 0 AND 59 AND j BETWEEN 0 AND 19 THEN i ELSE -1 END AS i_0, CASE WHEN i BETWEEN 0 AND 59 AND j BETWEEN 0 AND 19 THEN j ELSE -1 END AS j_0, round(east, 3) AS east, round(north, 3) AS north, x AS back_x, y AS back_y FROM c""",
+    "exploded_parts": f"WITH {ITEMS} SELECT l_orderkey, count(*) AS n, sum(x) AS x, sum(y) AS y FROM items GROUP BY 1",
+    "merged_lines": "SELECT s_suppkey, n, length FROM supplier, (VALUES (4::INT, 3.0::DOUBLE), (2, 2.0)) t(n, length)",
+    "curve_sheet": f"WITH {SHEET} SELECT curve_id, row_number() OVER (PARTITION BY curve_id ORDER BY intensity) - 1 AS point_index, intensity, damage FROM points",
+    "catalogue_tables": f"WITH {SHEET} SELECT curve_id, 'vulnerability' AS curve_type, count(*) AS n, max(damage) AS most FROM points WHERE curve_id = 'A' GROUP BY 1",
+    "available_by_name": "SELECT n_nationkey::VARCHAR AS curve_id, n_name AS hazard_name FROM nation WHERE n_name ILIKE '%1%'",
+    "path_edges": f"""WITH {ARCS}, p AS (SELECT n_nationkey AS key, unnest([0, 1, 2]) AS step, unnest([n_nationkey, (n_nationkey + 1) % 25, (n_nationkey + 2) % 25]) AS p, unnest([(n_nationkey + 1) % 25, (n_nationkey + 2) % 25, (n_nationkey + 9) % 25]) AS q FROM nation)
+SELECT key::BIGINT AS key, step::BIGINT AS step, min(edge_id)::BIGINT AS edge_id FROM p LEFT JOIN edges ON least(u, v) = least(p, q) AND greatest(u, v) = greatest(p, q) GROUP BY 1, 2""",
+    "sample_sizes": "SELECT n, k, CASE WHEN k > n THEN 0 ELSE (factorial(n::INT) // (factorial(k::INT) * factorial((n - k)::INT)))::BIGINT END AS ways FROM range(11) a(n), range(12) b(k)",
+    "yearly_factors": "SELECT (2020 + y)::INT AS year, y::INT AS year_from_start, round(1.0::DOUBLE / pow(1.03::DOUBLE, y), 9) AS factor FROM range(31) t(y)",
+    "id_numbers": "SELECT s_suppkey, s_suppkey::BIGINT AS number, NULL::BIGINT AS none FROM supplier",
+}

@@ -8,6 +8,7 @@ are dropped, other types raise.
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -292,6 +293,50 @@ def read_typed(spark: SparkSession, path: str, layer: str | None = None, kind: s
     return df.where(F.col(geometry).isNotNull()), kind
 
 
+def crs_name(text: str) -> str | None:
+    """``EPSG:code`` of a CRS name or a well-known text, or null."""
+    if re.search(r"CRS:?84", text):
+        return "EPSG:4326"
+    if found := re.findall(r"""EPSG\W+(?:[\d.]+\W+)?(\d{4,6})""", text):
+        return f"EPSG:{found[-1]}"
+    if found := re.search(r"UTM[ _]zone[ _](\d{1,2})([NS])", text, re.I):
+        return f"EPSG:{326 if found[2].upper() == 'N' else 327}{int(found[1]):02d}"
+    if "PROJCS" in text:
+        return "EPSG:3857" if re.search("Pseudo.?Mercator|Web_Mercator", text) else None
+    return "EPSG:4326" if re.search("WGS[ _]?(19)?84", text) else None
+
+
+def layer_crs(spark: SparkSession, path: str, layer: str | None = None) -> str | None:
+    """The CRS of a layer, or null where its file doesn't tell.
+
+    GeoJSON has EPSG:4326 unless it names another; a GeoPackage has a table of them, a Shapefile a
+    text beside it; plain Parquet doesn't tell.
+    """
+    lower = path.lower().rstrip("/")
+    if lower.endswith((".geojson", ".json")):
+        named = spark.read.schema("crs struct<properties:struct<name:string>>").option("multiLine", True).json(path).first()
+        return crs_name(named["crs"]["properties"]["name"]) if named and named["crs"] and named["crs"]["properties"] and named["crs"]["properties"]["name"] else "EPSG:4326"
+    if lower.endswith((".geojsonl", ".ndjson")):
+        return "EPSG:4326"
+    if lower.endswith(".gpkg"):
+        import sqlite3
+
+        local = path.removeprefix("file://")
+        with sqlite3.connect(f"file:{local}?mode=ro", uri=True) as c:
+            asked = "SELECT s.organization || ':' || s.organization_coordsys_id FROM gpkg_geometry_columns g JOIN gpkg_spatial_ref_sys s ON g.srs_id = s.srs_id WHERE g.table_name = ?"
+            found = c.execute(asked, (layer or gpkg_layers(local)[0],)).fetchone()
+        return crs_name(found[0].upper()) if found and found[0] else None
+    if lower.endswith(".shp"):
+        text = spark.read.option("wholetext", True).text(path[:-4] + ".prj").first() if _there(spark, path[:-4] + ".prj") else None
+        return crs_name(text[0]) if text else None
+    return None
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 # GeoPackage and Shapefile, as a Python data source
 
 

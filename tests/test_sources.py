@@ -120,12 +120,16 @@ def test_rasters(spark, tmp_path):
     assert [p.rpartition("/")[2] for p in rasters.list_files(spark, str(tmp_path), ".asc")] == ["a.asc"]
 
 
+#: The layers are in the CRS of the grid; a GeoJSON that names none is in EPSG:4326.
+NAMED = {"crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::32630"}}}
+
+
 def test_commands(spark, tmp_path, capsys):
     assert cli.main([], spark) == 0 and "split" in capsys.readouterr().out
     make_raster(spark, str(tmp_path / "r"))
-    (tmp_path / "l.geojson").write_text(json.dumps(features("LineString", [[[0.5, 0.5], [2.5, 0.5]]])))
-    (tmp_path / "p.geojson").write_text(json.dumps(features("Point", [[0.5, 1.5], [9, 9]])))
-    (tmp_path / "m.geojson").write_text(json.dumps(features("MultiPolygon", [[[[[0, 0], [2, 0], [2, 1], [0, 1], [0, 0]]]]])))
+    (tmp_path / "l.geojson").write_text(json.dumps(features("LineString", [[[0.5, 0.5], [2.5, 0.5]]]) | NAMED))
+    (tmp_path / "p.geojson").write_text(json.dumps(features("Point", [[0.5, 1.5], [9, 9]]) | NAMED))
+    (tmp_path / "m.geojson").write_text(json.dumps(features("MultiPolygon", [[[[[0, 0], [2, 0], [2, 1], [0, 1], [0, 0]]]]]) | NAMED))
     out = str(tmp_path / "o.parquet")
     cli.main(["split", "-f", str(tmp_path / "l.geojson"), "-r", str(tmp_path / "r"), "-a", "-c", "d", "-o", out], spark)
     assert [tuple(r) for r in spark.read.parquet(out).orderBy("split").select("name", "split", "index_i", "index_j", "d_1", "d_2").collect()] == [("n0", k, k, 0, 100.0 + k, 200.0 + k) for k in range(3)]
