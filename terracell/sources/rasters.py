@@ -1,4 +1,4 @@
-"""Rasters: Parquet tables with a sidecar, ASCII grids, Zarr headers, and catalogues.
+"""Rasters: Parquet tables with a sidecar, GeoTIFF, ASCII grids, Zarr headers, and catalogues.
 
 A raster at ``path`` is a Parquet table ``band, j, i, value`` with ``path + ".grid.json"`` beside it.
 """
@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracell.functions.grid import GridDefinition
+from terracell.sources import geotiff
+
+TIFF = (".tif", ".tiff")
 
 
 def _text(spark: SparkSession, path: str) -> str | None:
@@ -42,7 +45,9 @@ def write_raster(values: DataFrame, path: str, grid: GridDefinition, nodata: flo
 
 
 def read_grid(spark: SparkSession, path: str) -> GridDefinition:
-    """The grid of a raster: its sidecar, an ASCII grid's head, or a Zarr store's attributes."""
+    """The grid of a raster: its sidecar, a GeoTIFF's tags, an ASCII grid's head, or a Zarr store's attributes."""
+    if path.lower().endswith(TIFF):
+        return geotiff.read_tiff(path).grid
     if path.endswith(".asc"):
         return ascii_grid(spark, path)[0]
     if path.rstrip("/").endswith(".zarr"):
@@ -55,6 +60,9 @@ def read_grid(spark: SparkSession, path: str) -> GridDefinition:
 
 def read_metadata(spark: SparkSession, path: str) -> tuple[GridDefinition, tuple[int, ...]]:
     """Grid and band numbers."""
+    if path.lower().endswith(TIFF):
+        tiff = geotiff.read_tiff(path)
+        return tiff.grid, tuple(range(1, tiff.bands + 1))
     if path.endswith(".asc"):
         return ascii_grid(spark, path)[0], (1,)
     if path.rstrip("/").endswith(".zarr"):
@@ -70,6 +78,8 @@ def read_band(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
         if band != 1:
             raise ValueError(f"{path} has one band")
         return ascii_grid(spark, path)[1]
+    if path.lower().endswith(TIFF):
+        return geotiff.read_values(spark, path, (band,)).select("j", "i", "value")
     known = read_metadata(spark, path)[1]
     if band not in known:
         raise ValueError(f"{path} has the bands {', '.join(map(str, known))}")
