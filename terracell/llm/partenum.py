@@ -47,7 +47,7 @@ GRAM, PERCENT = 4, 85
 #: Growth of the sizes of a band, share of spare parts, and how often sets with too many bare parts are signed anew.
 RATIO, SPARE, LEVELS = 1.3, 0.15, 10
 #: Signatures that are handled together, those of a bucket on average, and classes that a task remembers.
-FLUSH, BUCKET, SEEN = 1 << 20, 1 << 17, 1 << 20
+FLUSH, BUCKET, SEEN = 1 << 18, 1 << 17, 1 << 17
 #: Bits of the Bloom filter for each element, the least and the most of them, its hashes, bins of a sketch.
 BLOOM_EACH, BLOOM_LEAST, BLOOM_MOST, BLOOM_HASHES, SKETCH = 16, 1 << 20, 1 << 28, 4, 512
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -169,7 +169,11 @@ def _sizes_job(gram: int):
 
 
 def _signature_job(gram: int, percent: int, buckets: int):
-    """Texts to blobs of a bucket: classes, how many signatures each has there, and 48 bits of each signature."""
+    """Texts to blobs of a bucket: 32 bits of each signature and 48 bits of its class.
+
+    Buckets hold about ``BUCKET`` signatures whatever the number of texts, so 32 bits beside the
+    bucket make two signatures equal by chance in one of 30000 cases at most, at every size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -200,21 +204,14 @@ def _signature_job(gram: int, percent: int, buckets: int):
 
 def _blobs(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
     sig, cls = (np.concatenate(x) for x in zip(*held))
-    bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
-    order = np.lexsort((cls, bucket))
-    sig, cls, bucket = sig[order], cls[order], bucket[order].astype(np.int32)
-    edge = np.flatnonzero(np.diff(bucket)) + 1
-    starts = np.concatenate([[0], edge])
-    ends = np.concatenate([edge, [len(sig)]])
-    run = np.ones(len(sig), bool)
-    run[1:] = (cls[1:] != cls[:-1]) | (bucket[1:] != bucket[:-1])
-    runs = np.flatnonzero(run)
-    counts = np.diff(np.concatenate([runs, [len(sig)]])).astype(np.uint32)
-    low, high = sig.astype(np.uint32), (sig >> np.uint64(48)).astype(np.uint16)
-    ra, rb = np.searchsorted(runs, starts), np.searchsorted(runs, ends)
-    blob = lambda x, a, b: pa.array([x[i:j].tobytes() for i, j in zip(a, b)], pa.binary())
-    arrays = [pa.array(bucket[starts]), blob(cls[runs], ra, rb), blob(counts, ra, rb), blob(low, starts, ends), blob(high, starts, ends)]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "classes", "counts", "low", "high"])
+    bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, low, cls = bucket[order], sig[order].astype(np.uint32), cls[order] >> np.uint64(16)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(starts[1:], len(bucket))
+    blob = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())
+    arrays = [pa.array(bucket[starts]), blob(low), blob((cls >> np.uint64(16)).astype(np.uint32)), blob(cls.astype(np.uint16))]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "sigs", "high", "low"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,14 +241,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_long(s[keep]), _long(c[first][keep]), _long(c[keep])], ["sig", "center", "cls"])
 
     for batch in batches:
-        for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "classes", "counts", "low", "high"))):
+        for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "high", "low"))):
             if bucket != now:
                 if n:
                     yield from step()
                 now, sig, center = bucket, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            classes, counts, low, high = (np.frombuffer(x, t) for x, t in zip(blobs, (np.uint64, np.uint32, np.uint32, np.uint16)))
-            value = textbatch.mix((high.astype(np.uint64) << np.uint64(32)) + low) ^ textbatch.mix(np.full(1, bucket, np.uint64))
-            held.append((value, np.repeat(classes, counts)))
+            value, high, low = (np.frombuffer(x, t).astype(np.uint64) for x, t in zip(blobs, (np.uint32, np.uint32, np.uint16)))
+            value += np.uint64(bucket) << np.uint64(32)
+            held.append((value, (high << np.uint64(16)) + low))
             n += len(value)
             if n >= FLUSH:
                 yield from step()
@@ -430,11 +427,16 @@ def jaccard_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
         raise ValueError("two different shingle sets share a 64-bit class hash")
     classes = classes.select("cls", "first")
     buckets = max(1 << 8, math.ceil((sized.agg(F.sum("n_shingles")).first()[0] or 0) / BUCKET))
-    sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent, buckets), "bucket int, classes binary, counts binary, low binary, high binary")
+    sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent, buckets), "bucket int, sigs binary, high binary, low binary")
     sigs = sigs.repartition("bucket").sortWithinPartitions("bucket")
     shared = materialise(sigs.mapInArrow(_shared, "sig long, center long, cls long"), "jaccard-shared")
-    first = stars(shared)
-    discard(shared)
+    short = stars(shared)
+    # Signatures came with 48 bits of each class; classes that share these are all meant.
+    full = classes.select(F.shiftrightunsigned("cls", 16).alias("short"), "cls")
+    sides = [full.select(F.col("short").alias(f"short_{c}"), F.col("cls").alias(c)) for c in "ab"]
+    first = short.withColumnsRenamed({"a": "short_a", "b": "short_b"}).join(sides[0], "short_a").join(sides[1], "short_b")
+    first = materialise(first.select("a", "b").distinct(), "jaccard-first")
+    discard(shared, short)
     wanted = first.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("first").alias("doc_id"))
     sets = shingle_table(materialise(wanted, "wanted"), docs.where("doc_id is not null"), gram)
     links = materialise(verify(first, sets, percent), "jaccard-links")
