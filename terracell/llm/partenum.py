@@ -15,8 +15,8 @@ with the domain parted anew; only in the last of ``LEVELS`` ways are empty proje
 
 Sets that are equal become one class. Classes that share a signature are candidates. The class of
 each signature that shares most signatures is compared with all others first, which makes stars.
-Members that this left in other components than their star's center are then compared with those
-members of the star that :func:`remaining` can't tell apart from them. Comparisons read whole sets,
+Members that share a signature with a member that this left in another component are then compared with those
+of their star that :func:`remaining` can't tell apart from them. Comparisons read whole sets,
 so no link between different sets is missed and none is made up; pairs inside a component that
 already holds together are not listed.
 
@@ -337,21 +337,46 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def stars(shared: DataFrame) -> DataFrame:
-    """``a, b``: for each signature, its class that shares most signatures with others, and each other one."""
+def stars(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each signature, its class that shares most signatures with others, and each other one.
+
+    ``a, b``, and ``sig, a, cls`` for the signatures of more than one other class: only there can
+    two classes share a signature without one of them being its center.
+    """
     members = shared.select("sig", "cls").unionByName(shared.select("sig", F.col("center").alias("cls")).distinct())
     weight = members.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
     members = materialise(members.join(weight, "cls"), "jaccard-members")
-    best = members.groupBy("sig").agg(F.max(F.struct("w", "cls"))["cls"].alias("a"))
-    found = materialise(members.join(best, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "jaccard-stars")
+    best = members.groupBy("sig").agg(F.max(F.struct("w", "cls"))["cls"].alias("a"), F.count(F.lit(1)).alias("n"))
+    placed = materialise(members.join(best, "sig").where("cls <> a").select("sig", "a", "cls", "n"), "jaccard-placed")
     discard(members)
-    return found
+    found = materialise(placed.select("a", F.col("cls").alias("b")).distinct(), "jaccard-stars")
+    crowded = materialise(placed.where("n > 2").select("sig", "a", "cls"), "jaccard-crowded")
+    discard(placed)
+    return found, crowded
+
+
+def unsettled(crowded: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
+    """``a, b``: the members of stars that share a signature with a member of another component.
+
+    Two similar classes share a signature; if one is its center, they were compared. So all others
+    that may be similar are found among these, and a signature whose members ended in one component
+    has none.
+    """
+    roots = found.select(F.col("node").alias("cls"), "root")
+    tagged = crowded.withColumnRenamed("cls", "short").join(full, "short").join(roots, "cls", "left")
+    tagged = materialise(tagged.select("sig", "a", "cls", F.coalesce("root", "cls").alias("root")), "jaccard-tagged")
+    mixed = tagged.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
+    live = tagged.join(mixed, "sig", "left_semi").select(F.col("a").alias("short"), F.col("cls").alias("b")).distinct()
+    live = live.join(full.withColumnRenamed("cls", "a"), "short").where("a <> b").select("a", "b").distinct()
+    live = materialise(live, "jaccard-unsettled")
+    discard(tagged)
+    return live
 
 
-def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that may be similar though stars left them in different components.
 
-    Members of a star are compared by what sets them apart from what most of them hold. A member
+    Members of a star (those of :func:`unsettled`) are compared by what sets them apart from what most of them hold. A member
     has ``a`` elements that this reference lacks and lacks ``r`` of it. A pair with at most ``k``
     differences shares an added element (kind 0), or ``|r - r*| + a + a* <= k``. In that case, if
     ``a + r > k``, both lack some same element, and ``r* > a*`` (kind 1); members with
@@ -359,7 +384,7 @@ def remaining(first: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     with all that keep to the bound (kind 2).
     """
     roots = found.select(F.col("node").alias("cls"), "root")
-    rooted = first.join(roots.select(F.col("cls").alias("a"), F.col("root").alias("a_root")), "a", "left").join(roots.select(F.col("cls").alias("b"), F.col("root").alias("b_root")), "b", "left")
+    rooted = live.join(roots.select(F.col("cls").alias("a"), F.col("root").alias("a_root")), "a", "left").join(roots.select(F.col("cls").alias("b"), F.col("root").alias("b_root")), "b", "left")
     rooted = rooted.select("a", F.col("b").alias("cls"), F.coalesce("b_root", "b").alias("root"), (F.coalesce("b_root", "b") != F.coalesce("a_root", "a")).alias("apart"))
     rooted = materialise(rooted, "jaccard-rooted")
     groups = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("some")).where("n > 1 and some")
@@ -430,7 +455,7 @@ def jaccard_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent, buckets), "bucket int, sigs binary, high binary, low binary")
     sigs = sigs.repartition("bucket").sortWithinPartitions("bucket")
     shared = materialise(sigs.mapInArrow(_shared, "sig long, center long, cls long"), "jaccard-shared")
-    short = stars(shared)
+    short, crowded = stars(shared)
     # Signatures came with 48 bits of each class; classes that share these are all meant.
     full = classes.select(F.shiftrightunsigned("cls", 16).alias("short"), "cls")
     sides = [full.select(F.col("short").alias(f"short_{c}"), F.col("cls").alias(c)) for c in "ab"]
@@ -441,12 +466,14 @@ def jaccard_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     sets = shingle_table(materialise(wanted, "wanted"), docs.where("doc_id is not null"), gram)
     links = materialise(verify(first, sets, percent), "jaccard-links")
     found = components(links)
-    rest = remaining(first, found, sets, percent)
+    live = unsettled(crowded, found, full)
+    discard(crowded)
+    rest = remaining(live, found, sets, percent)
     if not rest.isEmpty():
         found = components(links.unionByName(verify(rest, sets, percent)))
     placed = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = materialise(placed.join(least, "root").select("cls", "root", "component_id"), "jaccard-components")
-    discard(sets, first)
+    discard(sets, first, live)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return sized.join(placed, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), "cls", "root")
