@@ -35,11 +35,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     Cuts the lineage in a way that survives the loss of any executor, gives the planner the
-    true size, and keeps a costly projection from being evaluated for each consumer.
+    true size, and keeps a costly projection from being evaluated for each consumer. Shuffle files
+    of the write go when it ends: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found
