@@ -48,6 +48,8 @@ GRAM, PERCENT = 4, 85
 RATIO, SPARE, LEVELS = 1.3, 0.15, 10
 #: Signatures that are handled together, those of a bucket on average, and classes that a task remembers.
 FLUSH, BUCKET, SEEN = 1 << 18, 1 << 17, 1 << 17
+#: Further centers of a signature that all its classes are compared with before sets are taken apart.
+CENTERS = 3
 #: Bits of the Bloom filter for each element, the least and the most of them, its hashes, bins of a sketch.
 BLOOM_EACH, BLOOM_LEAST, BLOOM_MOST, BLOOM_HASHES, SKETCH = 16, 1 << 20, 1 << 28, 4, 512
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -340,37 +342,52 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def stars(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For each signature, its class that shares most signatures with others, and each other one.
 
-    ``a, b``, and ``sig, a, cls`` for the signatures of more than one other class: only there can
+    ``a, b``, and ``sig, a, cls, w`` (signatures shared by ``cls``) for the signatures of more than one other class: only there can
     two classes share a signature without one of them being its center.
     """
     members = shared.select("sig", "cls").unionByName(shared.select("sig", F.col("center").alias("cls")).distinct())
     weight = members.groupBy("cls").agg(F.count(F.lit(1)).alias("w"))
     members = materialise(members.join(weight, "cls"), "jaccard-members")
     best = members.groupBy("sig").agg(F.max(F.struct("w", "cls"))["cls"].alias("a"), F.count(F.lit(1)).alias("n"))
-    placed = materialise(members.join(best, "sig").where("cls <> a").select("sig", "a", "cls", "n"), "jaccard-placed")
+    placed = materialise(members.join(best, "sig").where("cls <> a").select("sig", "a", "cls", "w", "n"), "jaccard-placed")
     discard(members)
     found = materialise(placed.select("a", F.col("cls").alias("b")).distinct(), "jaccard-stars")
-    crowded = materialise(placed.where("n > 2").select("sig", "a", "cls"), "jaccard-crowded")
+    crowded = materialise(placed.where("n > 2").select("sig", "a", "cls", "w"), "jaccard-crowded")
     discard(placed)
     return found, crowded
 
 
-def unsettled(crowded: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
-    """``a, b``: the members of stars that share a signature with a member of another component.
+def unsettled(crowded: DataFrame, first: DataFrame, found: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with further centers, and the members of stars that may be similar to another one even so; both ``a, b``.
 
     Two similar classes share a signature; if one is its center, they were compared. So all others
-    that may be similar are found among these, and a signature whose members ended in one component
-    has none.
+    that may be similar share a signature with a member of another component. Such a signature gets
+    ``CENTERS`` more centers, one by one, and a pair of each with every member of another component;
+    the members are what is left when the centers are taken out.
     """
     roots = found.select(F.col("node").alias("cls"), "root")
     tagged = crowded.withColumnRenamed("cls", "short").join(full, "short").join(roots, "cls", "left")
-    tagged = materialise(tagged.select("sig", "a", "cls", F.coalesce("root", "cls").alias("root")), "jaccard-tagged")
-    mixed = tagged.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    live = tagged.join(mixed, "sig", "left_semi").select(F.col("a").alias("short"), F.col("cls").alias("b")).distinct()
+    tagged = materialise(tagged.select("sig", "a", "cls", "w", F.coalesce("root", "cls").alias("root")), "jaccard-tagged")
+    pairs = []
+    for i in range(CENTERS + 1):
+        mixed = tagged.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("w", "cls", "root")).alias("c"))
+        last, tagged = tagged, materialise(tagged.join(mixed.where("low <> high").select("sig", "c"), "sig"), "jaccard-tagged")
+        discard(last)
+        if i < CENTERS:
+            pair = tagged.where("root <> c.root").select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"))
+            pairs.append(materialise(pair.distinct(), "jaccard-pair"))
+            last, tagged = tagged, materialise(tagged.where("cls <> c.cls").drop("c"), "jaccard-tagged")
+            discard(last)
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = pairs[0]
+    for p in pairs[1:]:
+        more = more.unionByName(p)
+    more = materialise(more.distinct().join(done, ["a", "b"], "left_anti"), "jaccard-further")
+    live = tagged.select(F.col("a").alias("short"), F.col("cls").alias("b")).distinct()
     live = live.join(full.withColumnRenamed("cls", "a"), "short").where("a <> b").select("a", "b").distinct()
     live = materialise(live, "jaccard-unsettled")
-    discard(tagged)
-    return live
+    discard(tagged, *pairs)
+    return more, live
 
 
 def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -466,14 +483,18 @@ def jaccard_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     sets = shingle_table(materialise(wanted, "wanted"), docs.where("doc_id is not null"), gram)
     links = materialise(verify(first, sets, percent), "jaccard-links")
     found = components(links)
-    live = unsettled(crowded, found, full)
+    more, live = unsettled(crowded, first, found, full)
     discard(crowded)
+    further = materialise(verify(more, sets, percent), "jaccard-links")
+    if not further.isEmpty():
+        links = materialise(links.unionByName(further), "jaccard-links")
+        found = components(links)
     rest = remaining(live, found, sets, percent)
     if not rest.isEmpty():
         found = components(links.unionByName(verify(rest, sets, percent)))
     placed = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = materialise(placed.join(least, "root").select("cls", "root", "component_id"), "jaccard-components")
-    discard(sets, first, live)
+    discard(sets, first, more, live)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return sized.join(placed, "cls", "left").select("doc_id", "n_shingles", component.alias("component_id"), "cls", "root")
