@@ -329,12 +329,17 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the class pairs ``a, b`` whose sets are similar.
 
     A sketch counts a set's elements in ``SKETCH`` bins. The differences of two sketches are no more
-    than those of the sets, so only pairs whose sketches allow it are compared as sets.
+    than those of the sets, so only pairs whose sketches allow it are compared as sets. Sets that are
+    in none of these pairs stay where they are read.
     """
-    side = lambda c, s, n: sets.select(F.col("cls").alias(c), F.col("sketch").alias(s), F.size("shingles").alias(n))
+    of = lambda c, these: sets.join(these.select(F.col(c).alias("cls")), "cls", "left_semi")
+    side = lambda c, s, n: of(c, pairs).select(F.col("cls").alias(c), F.col("sketch").alias(s), F.size("shingles").alias(n))
     near = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").where(f"100 * m >= {percent} * n and 100 * n >= {percent} * m")
     near = materialise(near.select("a", "b", "p", "q", "m", "n").mapInArrow(_sketch_job(percent), "a long, b long"), "jaccard-near")
-    found = near.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
+    if near.isEmpty():
+        return near
+    whole = lambda c, s: of(c, near).select(F.col("cls").alias(c), F.col("shingles").alias(s))
+    found = near.join(whole("b", "y"), "b").join(whole("a", "x"), "a")
     common = F.size(F.array_intersect("x", "y"))
     return found.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
