@@ -50,6 +50,8 @@ RATIO, SPARE, LEVELS = 1.3, 0.15, 10
 FLUSH, BUCKET, SEEN = 1 << 18, 1 << 17, 1 << 17
 #: Further centers of a signature that all its classes are compared with before sets are taken apart.
 CENTERS = 3
+#: Repeated rows of sets up to which their numbers are broadcast.
+AGAIN = 1 << 17
 #: Bits of the Bloom filter for each element, the least and the most of them, its hashes, bins of a sketch.
 BLOOM_EACH, BLOOM_LEAST, BLOOM_MOST, BLOOM_HASHES, SKETCH = 16, 1 << 20, 1 << 28, 4, 512
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -302,14 +304,34 @@ def _set_job(gram: int, filter_words):
 
 
 def shingle_table(wanted: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
-    """``cls, sketch, shingles`` of the classes in ``wanted`` (``cls, doc_id``: a document of each).
+    """``cls, sketch, shingles`` of the classes in ``wanted`` (``cls, doc_id``: a document of each), once each.
 
-    Texts stay where they are read: a Bloom filter picks the documents that may be wanted before
-    their words are looked at, and an exact join follows.
+    Texts stay where they are read, and sets are written there: a Bloom filter picks the documents
+    that may be wanted before their words are looked at. The few others that it lets through are
+    classes that nobody asks for; a filter that is full is followed by an exact join. Rows of a class
+    that came before (repeated rows, or chance) are left out where sets are read; sets are written
+    again without them only where they are many.
     """
-    words = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
+    words = bloom(wanted)
+    full = np.unpackbits(words.view(np.uint8)).mean() > 0.5
+    words = docs.sparkSession.sparkContext.broadcast(words)
     sets = docs.select("doc_id", "text").mapInArrow(_set_job(gram, words), "cls long, sketch binary, shingles array<long>")
-    return materialise(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "shingle-sets")
+    if full:
+        sets = sets.join(wanted, "cls", "left_semi")
+    sets = materialise(sets.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    ids = sets.select("cls", "row")
+    least = ids.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least")).where("n > 1").select("cls", "least")
+    again = materialise(ids.join(least, "cls").where("row > least").select("row"), "shingle-sets-again")
+    found = again.count()
+    if not found:
+        return sets
+    if found > AGAIN:
+        once = materialise(sets.join(again, "row", "left_anti"), "shingle-sets")
+        discard(sets, again)
+        return once
+    once = sets.join(F.broadcast(again), "row", "left_anti")
+    once.written_to = sets.written_to
+    return once
 
 
 def _sketch_job(percent: int):
