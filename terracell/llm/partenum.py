@@ -417,10 +417,41 @@ def unsettled(crowded: DataFrame, first: DataFrame, found: DataFrame, full: Data
     return more, live
 
 
+def _kept_job(percent: int, filter_words):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = filter_words.value
+        for batch in batches:
+            sets = batch.column("shingles")
+            at = _places(np.asarray(sets.flatten()), 32 * len(words))
+            held = ((words[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1)).all(0)
+            size = np.asarray(sets.value_lengths())
+            common = np.bincount(np.repeat(np.arange(len(size)), size), held, len(size)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("cls").filter(pa.array(100 * common >= percent * size))], ["cls"])
+
+    return run
+
+
+def partnered(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the members ``a, b`` whose sets may be similar to that of another member at all.
+
+    A similar set holds ``percent`` of a member's elements, so as many of them must occur in some
+    other member. Elements that several members hold make a Bloom filter; where chance lets an
+    element through, a member stays that could go, but none goes that could be similar.
+    """
+    mine = sets.join(live.select(F.col("b").alias("cls")), "cls", "left_semi")
+    several = mine.select(F.explode("shingles").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    several = materialise(several, "jaccard-several")
+    words = live.sparkSession.sparkContext.broadcast(bloom(several))
+    kept = materialise(mine.select("cls", "shingles").mapInArrow(_kept_job(percent, words), "cls long"), "jaccard-kept")
+    found = materialise(live.join(kept.withColumnRenamed("cls", "b"), "b", "left_semi").select("a", "b"), "jaccard-partnered")
+    discard(several, kept)
+    return found
+
+
 def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that may be similar though stars left them in different components.
 
-    Members of a star (those of :func:`unsettled`) are compared by what sets them apart from what most of them hold. A member
+    Members of a star (those of :func:`partnered`) are compared by what sets them apart from what most of them hold. A member
     has ``a`` elements that this reference lacks and lacks ``r`` of it. A pair with at most ``k``
     differences shares an added element (kind 0), or ``|r - r*| + a + a* <= k``. In that case, if
     ``a + r > k``, both lack some same element, and ``r* > a*`` (kind 1); members with
@@ -432,7 +463,7 @@ def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     rooted = rooted.select("a", F.col("b").alias("cls"), F.coalesce("b_root", "b").alias("root"), (F.coalesce("b_root", "b") != F.coalesce("a_root", "a")).alias("apart"))
     rooted = materialise(rooted, "jaccard-rooted")
     groups = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("some")).where("n > 1 and some")
-    members = rooted.join(groups.select("a", "n"), "a").join(sets, "cls")
+    members = rooted.join(groups.select("a", "n"), "a").join(sets.select("cls", "shingles"), "cls")
     members = materialise(members, "jaccard-apart")
     counts = members.select("a", "n", F.explode("shingles").alias("g")).groupBy("a", "n", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     counts = materialise(counts, "jaccard-counts")
@@ -512,6 +543,8 @@ def jaccard_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     found = components(links)
     more, live = unsettled(crowded, first, found, full)
     discard(crowded)
+    unpruned, live = live, partnered(live, sets, percent)
+    discard(unpruned)
     further = materialise(verify(more, sets, percent), "jaccard-links")
     if not further.isEmpty():
         links = materialise(links.unionByName(further), "jaccard-links")
