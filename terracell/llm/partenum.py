@@ -452,8 +452,10 @@ def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     """Pairs ``a, b`` that may be similar though stars left them in different components.
 
     Members of a star (those of :func:`partnered`) are compared by what sets them apart from what most of them hold. A member
-    has ``a`` elements that this reference lacks and lacks ``r`` of it. A pair with at most ``k``
-    differences shares an added element (kind 0), or ``|r - r*| + a + a* <= k``. In that case, if
+    has ``a`` elements that this reference lacks and lacks ``r`` of it, and at most ``alone``
+    of its elements are missing in a similar set. A pair with at most ``k`` differences shares an
+    added element (kind 0; one of the rarest ``alone + 1`` of each), or ``a <= alone`` in both and
+    ``|r - r*| + a + a* <= k``. In that case, if
     ``a + r > k``, both lack some same element, and ``r* > a*`` (kind 1); members with
     ``a + r <= k`` that are apart from a center near to the reference are few, and are compared
     with all that keep to the bound (kind 2).
@@ -471,19 +473,20 @@ def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     m = members.join(reference, "a", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
     size = F.size("shingles")
     most_k = F.floor((100 - percent) * (size + F.floor(size * 100 / percent)) / (100 + percent)).cast("int")
-    m = m.select("a", "cls", "root", "apart", size.alias("size"), most_k.alias("k"), F.array_except("shingles", "most").alias("plus"), F.array_except("most", "shingles").alias("minus"))
+    alone = F.floor((100 - percent) * size / 100).cast("int")
+    m = m.select("a", "cls", "root", "apart", size.alias("size"), most_k.alias("k"), alone.alias("alone"), F.array_except("shingles", "most").alias("plus"), F.array_except("most", "shingles").alias("minus"))
     m = materialise(m.withColumns({"added": F.size("plus"), "lacking": F.size("minus")}), "jaccard-differences")
     discard(members)
-    # Of the added elements only the rarest k + 1 are needed, and only those that another member has too.
-    facts = ["a", "cls", "root", "apart", "size", "k", "added", "lacking"]
+    # Of the added elements only the rarest alone + 1 are needed, and only those that another member has too.
+    facts = ["a", "cls", "root", "apart", "size", "k", "alone", "added", "lacking"]
     plus = m.select(*facts, F.explode("plus").alias("g")).join(counts.where("2 * c <= n").select("a", "g", "c"), ["a", "g"])
     here = W.partitionBy("a", "cls")
-    plus = plus.withColumn("at", F.col("added") - F.count(F.lit(1)).over(here) + F.row_number().over(here.orderBy("c", "g"))).where("at <= k + 1")
+    plus = plus.withColumn("at", F.col("added") - F.count(F.lit(1)).over(here) + F.row_number().over(here.orderBy("c", "g"))).where("at <= alone + 1")
     plus = plus.select(*facts, F.lit(0).alias("kind"), "g", F.col("at").cast("int").alias("at"))
     none = F.array().cast("array<struct<kind:int,g:bigint>>")
     tokens = lambda kind, array: F.transform(array, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("g")))
-    few = F.when((F.col("added") <= F.col("k")) & (F.col("apart") | (F.col("lacking") > F.col("added"))), tokens(1, F.col("minus"))).otherwise(none)
-    near = F.when(F.col("added") <= F.col("k"), tokens(2, F.array(F.lit(0).cast("bigint")))).otherwise(none)
+    few = F.when((F.col("added") <= F.col("alone")) & (F.col("apart") | (F.col("lacking") > F.col("added"))), tokens(1, F.col("minus"))).otherwise(none)
+    near = F.when(F.col("added") <= F.col("alone"), tokens(2, F.array(F.lit(0).cast("bigint")))).otherwise(none)
     other = m.select(*facts, F.explode(F.concat(few, near)).alias("t")).select(*facts, "t.kind", "t.g", F.lit(0).alias("at"))
     keyed = materialise(plus.unionByName(other), "jaccard-tokens")
     discard(m, counts, rooted)
