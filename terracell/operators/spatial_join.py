@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracell.functions import geometry as g
@@ -114,34 +114,66 @@ def first_match(points: DataFrame, polygons: DataFrame, size: float, key: str, v
     return points.join(hit.groupBy(key).agg(F.min_by(value, order).alias(value)), key, "left")
 
 
+#: Places in the fullest tile at the end of a search, and levels of tiles; four times as fine at each level.
+LEAF_PLACES, LEVELS = 32, 24
+
+
+def _gap(dx: Column, dy: Column) -> Column:
+    """Distance, alike for all differences with the same sum of squares where these neither overflow nor vanish."""
+    s = dx * dx + dy * dy
+    return F.when(s.between(1e-280, 1e280), F.sqrt(s)).otherwise(F.hypot(dx, dy))
+
+
+def _finite(p: Column) -> Column:
+    return (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf"))
+
+
 def nearest(points: DataFrame, nodes: DataFrame, key: str, node_key: str, size: float, point: str = "point", node: str = "node") -> DataFrame:
     """Adds ``node_key`` and ``distance`` of the nearest node; equal distances go to the least key.
 
-    The nine tiles around a point are searched. A hit no farther than a tile's width is final; points
-    without one go on with tiles four times as wide, until none is left. Each round is checkpointed.
+    Distinct places are searched, once each: the least key of a place stands for its nodes. Tiles of
+    ``size`` times powers of four are refined until the fullest holds few places. A place descends through
+    them from the widest, and keeps the tiles whose places' box is no farther than the farthest corner of
+    any other's. Points that are null or not finite get nulls, nodes of that kind are never nearest.
     """
     from terracell.sources.shared import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(points.sparkSession)
-    n = nodes.select(F.col(node_key), F.col(node).alias("_n"))
-    left = points.select(key, F.col(point).alias("_p")).where("_p is not null")
-    if n.isEmpty():
+    n, p = F.col(node), F.col(point)
+    places = nodes.where(_finite(n)).groupBy(n["x"].alias("_nx"), n["y"].alias("_ny")).agg(F.min(node_key).alias("_id")).checkpoint()
+    x0, y0, x1, y1 = places.agg(F.min("_nx"), F.min("_ny"), F.max("_nx"), F.max("_ny")).first()
+    if x0 is None:
         return points.withColumns({node_key: F.lit(None).cast(nodes.schema[node_key].dataType), "distance": F.lit(None).cast("double")})
-    found, width = None, size
-    around = F.explode(F.expr("flatten(transform(sequence(-1L, 1L), a -> transform(sequence(-1L, 1L), b -> struct(a as a, b as b))))"))
-    while width < 1e300:
-        near = n.select(node_key, "_n", F.floor(F.col("_n.x") / width).alias("_x"), F.floor(F.col("_n.y") / width).alias("_y"))
-        asked = left.select(key, "_p", around.alias("_d"))
-        asked = asked.select(key, "_p", (F.floor(F.col("_p.x") / width) + F.col("_d.a")).alias("_x"), (F.floor(F.col("_p.y") / width) + F.col("_d.b")).alias("_y"))
-        gap = F.hypot(F.col("_p.x") - F.col("_n.x"), F.col("_p.y") - F.col("_n.y"))
-        best = asked.join(near, ["_x", "_y"]).groupBy(key).agg(F.min(F.struct(gap.alias("distance"), F.col(node_key).alias("id"))).alias("_b"))
-        best = best.where(F.col("_b.distance") <= width).select(key, F.col("_b.id").alias(node_key), F.col("_b.distance").alias("distance")).checkpoint()
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best.select(key), key, "left_anti").checkpoint()
-        if left.isEmpty():
-            break
+    width = size
+    while width < max(x1 - x0, y1 - y0) < float("inf"):
         width *= 4
-    return points.join(found, key, "left")
+    for depth in range(1, LEVELS + 1):
+        tile = lambda c, low: F.least(F.floor((F.col(c) - low) / width * 4.0**depth), F.lit(4**depth - 1))  # noqa: B023, E731
+        leaves = places.withColumns({"_x": tile("_nx", x0), "_y": tile("_ny", y0)})
+        if leaves.groupBy("_x", "_y").count().agg(F.max("count")).first()[0] <= LEAF_PLACES:
+            break
+
+    def tiles(level: int) -> DataFrame:
+        """The tiles of a level, the tile above and the box of a tile's places."""
+        at = leaves.groupBy(*(F.shiftright(c, 2 * (depth - level)).alias(c) for c in ("_x", "_y")))
+        at = at.agg(F.min("_nx").alias("_x0"), F.min("_ny").alias("_y0"), F.max("_nx").alias("_x1"), F.max("_ny").alias("_y1"))
+        return at.withColumns({"_ux": F.shiftright("_x", 2), "_uy": F.shiftright("_y", 2)})
+
+    beyond = lambda c, low, high: F.greatest(F.col(low) - F.col(c), F.col(c) - F.col(high), F.lit(0.0))
+    across = lambda c, low, high: F.greatest(F.abs(F.col(c) - F.col(low)), F.abs(F.col(c) - F.col(high)))
+    asked = points.where(_finite(p)).select(p["x"].alias("_px"), p["y"].alias("_py")).distinct()
+    left = asked.withColumns({"_ux": F.lit(0).cast("long"), "_uy": F.lit(0).cast("long")})
+    for level in range(1, depth + 1):
+        left = left.join(tiles(level), ["_ux", "_uy"])
+        left = left.withColumns({"_low": _gap(beyond("_px", "_x0", "_x1"), beyond("_py", "_y0", "_y1")), "_high": _gap(across("_px", "_x0", "_x1"), across("_py", "_y0", "_y1"))})
+        left = left.withColumn("_high", F.min("_high").over(Window.partitionBy("_px", "_py")))
+        left = left.where(F.col("_low") <= F.col("_high") * (1 + 1e-12)).select("_px", "_py", F.col("_x").alias("_ux"), F.col("_y").alias("_uy"))
+        if level % 4 == 0:
+            left = left.checkpoint()
+    gap = _gap(F.col("_px") - F.col("_nx"), F.col("_py") - F.col("_ny"))
+    best = left.join(leaves, (F.col("_ux") == F.col("_x")) & (F.col("_uy") == F.col("_y"))).groupBy("_px", "_py").agg(F.min(F.struct(gap.alias("distance"), F.col("_id").alias("id"))).alias("_b"))
+    found = best.select("_px", "_py", F.col("_b.id").alias(node_key), F.col("_b.distance").alias("distance"))
+    return points.join(found, (p["x"] == F.col("_px")) & (p["y"] == F.col("_py")), "left").drop("_px", "_py")
 
 
 def within_else_nearest(points: DataFrame, regions: DataFrame, nodes: DataFrame, key: str, value: str, size: float, point: str = "point", polygon: str = "polygon", node: str = "node") -> DataFrame:
