@@ -65,9 +65,17 @@ def edges_in_polygons(edges: DataFrame, polygons: DataFrame, size: float, line:
     l, p = F.col(line), F.col(polygon)
     if clip is None:  # what the clip needs of a polygon is found once a polygon
         polygons = polygons.withColumns({"_is_box": g.is_box(p), "_bounds": g.polygon_bounds(p), "_edges": g.polygon_edges(p)})
-    pairs = tile_join(edges, polygons, g.line_bounds(l), g.polygon_bounds(p), size, g.line_meets_polygon(l, p))
     inside = clip(l, p) if clip else F.when(F.col("_is_box"), g.length_in_box(l, F.col("_bounds"))).otherwise(_length_inside(l, F.col("_edges")))
-    return pairs.withColumn(out, F.when(g.planar_length(l) <= short, F.lit(0.0)).otherwise(inside) if short is not None else inside).drop("_is_box", "_bounds", "_edges")
+    some = lambda v: F.array(F.struct((F.when(g.planar_length(l) <= short, F.lit(0.0)).otherwise(v) if short is not None else v).alias("v")))
+    found = F.when(g.line_meets_polygon(l, p), some(inside))
+    if clip is None:  # a segment and a box need no arrays
+        a, b = F.get(l, 0), F.get(l, 1)
+        piece = g.line_piece_in_box(a, b, F.col("_bounds"))
+        found = F.when(F.col("_is_box") & (F.size(l) == 2), F.when(piece.isNotNull(), some((piece["t1"] - piece["t0"]) * g.length(a, b)))).otherwise(found)
+    # the list keeps this out of the join's condition, which is compiled without it
+    pairs = tile_join(edges, polygons, g.line_bounds(l), g.polygon_bounds(p), size).withColumn("_found", found)
+    pairs = pairs.withColumn("_found", F.explode_outer("_found")).where("_found is not null")
+    return pairs.withColumn(out, F.col("_found.v")).drop("_is_box", "_bounds", "_edges", "_found")
 
 
 def length_in_polygon(line: Column, polygon: Column) -> Column:
