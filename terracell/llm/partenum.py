@@ -48,6 +48,8 @@ GRAM, PERCENT = 4, 85
 RATIO, SPARE, LEVELS = 1.3, 0.15, 10
 #: Signatures that are handled together, those of a bucket on average, and classes that a task remembers.
 FLUSH, BUCKET, SEEN = 1 << 18, 1 << 17, 1 << 17
+#: Bits of a class that travel with its signatures.
+SHORT = 32
 #: Further centers of a signature that all its classes are compared with before sets are taken apart.
 CENTERS = 3
 #: Repeated rows of sets up to which their numbers are broadcast.
@@ -173,7 +175,7 @@ def _sizes_job(gram: int):
 
 
 def _signature_job(gram: int, percent: int, buckets: int):
-    """Texts to blobs of a bucket: 32 bits of each signature and 48 bits of its class.
+    """Texts to blobs of a bucket: 32 bits of each signature and 32 bits of its class (``SHORT``).
 
     Buckets hold about ``BUCKET`` signatures whatever the number of texts, so 32 bits beside the
     bucket make two signatures equal by chance in one of 30000 cases at most, at every size.
@@ -210,12 +212,11 @@ def _blobs(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Record
     sig, cls = (np.concatenate(x) for x in zip(*held))
     bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    bucket, low, cls = bucket[order], sig[order].astype(np.uint32), cls[order] >> np.uint64(16)
+    bucket, low, short = bucket[order], sig[order].astype(np.uint32), (cls[order] >> np.uint64(64 - SHORT)).astype(np.uint32)
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     ends = np.append(starts[1:], len(bucket))
     blob = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())
-    arrays = [pa.array(bucket[starts]), blob(low), blob((cls >> np.uint64(16)).astype(np.uint32)), blob(cls.astype(np.uint16))]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "sigs", "high", "low"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), blob(low), blob(short)], ["bucket", "sigs", "shorts"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +246,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_long(s[keep]), _long(c[first][keep]), _long(c[keep])], ["sig", "center", "cls"])
 
     for batch in batches:
-        for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "high", "low"))):
+        for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "shorts"))):
             if bucket != now:
                 if n:
                     yield from step()
                 now, sig, center = bucket, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            value, high, low = (np.frombuffer(x, t).astype(np.uint64) for x, t in zip(blobs, (np.uint32, np.uint32, np.uint16)))
+            value, short = (np.frombuffer(x, np.uint32).astype(np.uint64) for x in blobs)
             value += np.uint64(bucket) << np.uint64(32)
-            held.append((value, (high << np.uint64(16)) + low))
+            held.append((value, short))
             n += len(value)
             if n >= FLUSH:
                 yield from step()
@@ -384,6 +385,12 @@ def stars(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, crowded
 
 
+def same_short(full: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of classes that no signature can tell apart, as they share ``short``."""
+    several = full.groupBy("short").agg(F.sort_array(F.collect_list("cls")).alias("c")).where(F.size("c") > 1)
+    return several.select(F.posexplode("c").alias("i", "a"), "c").select("a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b"))
+
+
 def unsettled(crowded: DataFrame, first: DataFrame, found: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs with further centers, and the members of stars that may be similar to another one even so; both ``a, b``.
 
@@ -530,15 +537,15 @@ def jaccard_rows(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
         raise ValueError("two different shingle sets share a 64-bit class hash")
     classes = classes.select("cls", "first")
     buckets = max(1 << 8, math.ceil((sized.agg(F.sum("n_shingles")).first()[0] or 0) / BUCKET))
-    sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent, buckets), "bucket int, sigs binary, high binary, low binary")
+    sigs = docs.where("doc_id is not null").mapInArrow(_signature_job(gram, percent, buckets), "bucket int, sigs binary, shorts binary")
     sigs = sigs.repartition("bucket").sortWithinPartitions("bucket")
     shared = materialise(sigs.mapInArrow(_shared, "sig long, center long, cls long"), "jaccard-shared")
     short, crowded = stars(shared)
-    # Signatures came with 48 bits of each class; classes that share these are all meant.
-    full = classes.select(F.shiftrightunsigned("cls", 16).alias("short"), "cls")
+    # Signatures came with 32 bits of each class; classes that share these are all meant, and are compared with each other.
+    full = classes.select(F.shiftrightunsigned("cls", 64 - SHORT).alias("short"), "cls")
     sides = [full.select(F.col("short").alias(f"short_{c}"), F.col("cls").alias(c)) for c in "ab"]
     first = short.withColumnsRenamed({"a": "short_a", "b": "short_b"}).join(sides[0], "short_a").join(sides[1], "short_b")
-    first = materialise(first.select("a", "b").distinct(), "jaccard-first")
+    first = materialise(first.select("a", "b").unionByName(same_short(full)).distinct(), "jaccard-first")
     discard(shared, short)
     wanted = first.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("first").alias("doc_id"))
     sets = shingle_table(materialise(wanted, "wanted"), docs.where("doc_id is not null"), gram)
