@@ -9,10 +9,15 @@ planner finds it small.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from terracell.functions import geometry as g
 from terracell.functions.expr import let, upto
@@ -124,6 +129,8 @@ def first_match(points: DataFrame, polygons: DataFrame, size: float, key: str, v
 
 #: Places in the fullest tile at the end of a search, and levels of tiles; four times as fine at each level.
 LEAF_PLACES, LEVELS = 32, 24
+#: Distinct places up to which they are sent to the executors; boxes that a box holds there, boxes that are tried together, points that a task remembers.
+BROADCAST_PLACES, GROUP, TOGETHER, REMEMBERED = 250_000, 4, 1 << 18, 1 << 16
 
 
 def _gap(dx: Column, dy: Column) -> Column:
@@ -136,11 +143,99 @@ def _finite(p: Column) -> Column:
     return (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf"))
 
 
+def _gaps(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """:func:`_gap` of arrays."""
+    s = dx * dx + dy * dy
+    out = np.sqrt(s)
+    odd = ~((s >= 1e-280) & (s <= 1e280))
+    out[odd] = np.hypot(dx[odd], dy[odd])
+    return out
+
+
+class Places:
+    """Distinct places, halved by x and y in turn, under boxes of ``GROUP`` places or boxes each."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
+        n, cell, turn = len(x), GROUP, 0
+        while cell < n:
+            cell *= 2
+        order = np.arange(n)
+        while cell > GROUP:
+            order = order[np.lexsort(((x, y)[turn % 2][order], np.arange(n) // cell))]
+            cell, turn = cell // 2, turn + 1
+        x, y, self.ids = x[order], y[order], ids[order]
+        self.boxes = [(x, y, x, y)]
+        while len(self.boxes[-1][0]) > 1:
+            starts = np.arange(0, len(self.boxes[-1][0]), GROUP)
+            self.boxes.append(tuple(f.reduceat(b, starts) for f, b in zip((np.minimum, np.minimum, np.maximum, np.maximum), self.boxes[-1])))
+
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The id of the nearest place of each point, the least of those at its distance, and the distance."""
+        if not len(x):
+            return self.ids[:0], np.zeros(0)
+        with np.errstate(over="ignore", under="ignore"):
+            return self._down(x, y, np.arange(len(x)), np.zeros(len(x), np.int64), len(self.boxes) - 1)
+
+    def _down(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, box: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """From boxes of a level and the points that they are kept for (in order) to those points' ids and distances."""
+        first = lambda v: np.append(True, v[1:] != v[:-1])
+        while True:
+            if len(of) * GROUP > TOGETHER and of[0] != of[-1]:
+                cut = np.searchsorted(of, of[len(of) // 2]) or np.searchsorted(of, of[0], "right")
+                return tuple(map(np.concatenate, zip(*(self._down(x, y, of[part], box[part], level) for part in (slice(cut), slice(cut, None))))))
+            x0, y0, x1, y1 = self.boxes[level]
+            dx0, dy0, dx1, dy1 = x0[box] - x[of], y0[box] - y[of], x[of] - x1[box], y[of] - y1[box]
+            low = _gaps(np.maximum(np.maximum(dx0, dx1), 0.0), np.maximum(np.maximum(dy0, dy1), 0.0))
+            if not level:
+                order = np.lexsort((self.ids[box], low, of))
+                best = order[first(of[order])]
+                return self.ids[box[best]], low[best]
+            high = _gaps(np.maximum(np.abs(dx0), np.abs(dx1)), np.maximum(np.abs(dy0), np.abs(dy1)))
+            new = first(of)
+            keep = low <= np.minimum.reduceat(high, np.flatnonzero(new))[np.cumsum(new) - 1] * (1 + 1e-12)
+            of, box, level = np.repeat(of[keep], GROUP), (box[keep][:, None] * GROUP + np.arange(GROUP)).ravel(), level - 1
+            there = box < len(self.boxes[level][0])
+            of, box = of[there], box[there]
+
+
+def _few_places(places: DataFrame, x: Column, y: Column) -> Column | None:
+    """``id, distance`` of the nearest place as a column, or None if there are more than ``BROADCAST_PLACES`` or ids are no integers."""
+    if not isinstance(places.schema["_id"].dataType, IntegralType) or {places.schema[c].dataType.simpleString() for c in ("_nx", "_ny")} != {"double"}:
+        return None
+    held = places.limit(BROADCAST_PLACES + 1).toArrow()
+    if held.num_rows > BROADCAST_PLACES or held.column("_id").null_count:
+        return None
+    if not held.num_rows:
+        return F.lit(None).cast("struct<id:bigint,distance:double>")
+    shared = places.sparkSession.sparkContext.broadcast(Places(*(held.column(c).to_numpy() for c in ("_nx", "_ny")), held.column("_id").to_numpy().astype(np.int64)))
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known, ids, gaps = np.zeros(0, complex), np.zeros(0, np.int64), np.zeros(0)  # points answered before, in order
+        for at in columns:
+            at = np.stack([pc.fill_null(c, math.nan).to_numpy(zero_copy_only=False) for c in at], 1)
+            fine = np.isfinite(at).all(1)
+            asked, place = np.unique(at[fine].view(complex).ravel(), return_inverse=True)
+            if len(known) > REMEMBERED:
+                known, ids, gaps = known[:0], ids[:0], gaps[:0]
+            new = asked[~np.isin(asked, known)]
+            more = shared.value.nearest(new.real, new.imag)
+            known, ids, gaps = (np.concatenate(x) for x in zip((known, ids, gaps), (new, *more)))
+            order = np.argsort(known)
+            known, ids, gaps = known[order], ids[order], gaps[order]
+            row = np.zeros(len(fine), np.int64)
+            row[fine] = np.searchsorted(known, asked)[place]
+            yield pa.StructArray.from_arrays([pa.array(np.append(x, 0)[row], mask=~fine) for x in (ids, gaps)], ["id", "distance"])
+
+    run.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, returnType="struct<id:bigint,distance:double>").asNondeterministic()(x, y)
+
+
 def nearest(points: DataFrame, nodes: DataFrame, key: str, node_key: str, size: float, point: str = "point", node: str = "node") -> DataFrame:
     """Adds ``node_key`` and ``distance`` of the nearest node; equal distances go to the least key.
 
-    Distinct places are searched, once each: the least key of a place stands for its nodes. Tiles of
-    ``size`` times powers of four are refined until the fullest holds few places. A place descends through
+    Distinct places are searched: the least key of a place stands for its nodes. No more than
+    ``BROADCAST_PLACES`` with integer keys are sent to the executors, which search them where the points are.
+    Otherwise distinct points are searched by joins: tiles of ``size`` times powers of four are refined until the fullest holds few places. A place descends through
     them from the widest, and keeps the tiles whose places' box is no farther than the farthest corner of
     any other's. Points that are null or not finite get nulls, nodes of that kind are never nearest.
     """
@@ -148,7 +243,11 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, node_key: str, size:
 
     ensure_checkpoint_dir(points.sparkSession)
     n, p = F.col(node), F.col(point)
-    places = nodes.where(_finite(n)).groupBy(n["x"].alias("_nx"), n["y"].alias("_ny")).agg(F.min(node_key).alias("_id")).checkpoint()
+    places = nodes.where(_finite(n)).groupBy(n["x"].alias("_nx"), n["y"].alias("_ny")).agg(F.min(node_key).alias("_id"))
+    if {t for _, t in points.select(p["x"], p["y"]).dtypes} == {"double"} and (near := _few_places(places, p["x"], p["y"])) is not None:
+        kind = nodes.schema[node_key].dataType
+        return points.withColumn("_near", near).withColumns({node_key: F.col("_near.id").cast(kind), "distance": F.col("_near.distance")}).drop("_near")
+    places = places.checkpoint()
     x0, y0, x1, y1 = places.agg(F.min("_nx"), F.min("_ny"), F.max("_nx"), F.max("_ny")).first()
     if x0 is None:
         return points.withColumns({node_key: F.lit(None).cast(nodes.schema[node_key].dataType), "distance": F.lit(None).cast("double")})
