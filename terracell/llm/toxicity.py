@@ -25,6 +25,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -148,18 +149,21 @@ def _beginnings(words: list[str]) -> Counter[str]:
     return Counter(w[:n] for w in words for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1))
 
 
-def stems(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
-    """Word beginnings that are more frequent in toxic documents than in clean ones."""
+def stems(toxic: Iterable[list[str]], clean: Iterable[list[str]]) -> list[str]:
+    """Word beginnings that are more frequent in toxic documents than in clean ones. The words of one document are held at a time."""
     seen, used, docs = Counter(), Counter(), Counter()
+    size, n = [1, 1], 0
     for words in toxic:
         found = _beginnings(words)
         seen.update(found)
         docs.update(found.keys())
-    least = max(3, len(toxic) // 100)
+        size[0] += len(words)
+        n += 1
+    least = max(3, n // 100)
     often = {s for s, c in docs.items() if c >= least}
     for words in clean:
         used.update({s: c for s, c in _beginnings(words).items() if s in often})
-    size = [sum(map(len, x)) + 1 for x in (toxic, clean)]
+        size[1] += len(words)
     odds = {s: math.log((seen[s] + 0.5) / size[0]) - math.log((used[s] + 0.5) / size[1]) for s in often}
     good = {s for s in often if odds[s] >= MIN_ODDS}
     # Of beginnings that start alike keep the longest that is about as frequent as the shortest.
@@ -194,7 +198,7 @@ def fit(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS) -
     y = np.array([v for _, v in docs], float)
     if not 0 < y.sum() < len(y):
         return Lexicon()
-    entries = stems([t.split() for t, v in docs if v], [t.split() for t, v in docs if not v])
+    entries = stems((t.split() for t, v in docs if v), (t.split() for t, v in docs if not v))
     exempt = tuple(sorted({" ".join(fold(p).split()) for p in exceptions}))
     lex = Lexicon(dict.fromkeys(entries, 1.0), exempt)
     phrases: dict[str, list[int]] = {}
@@ -205,21 +209,21 @@ def fit(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS) -
     lex.exceptions += tuple(sorted(often, key=lambda p: (-phrases[p][0], p))[:MAX_ENTRIES])
     lex = Lexicon(lex.weights, lex.exceptions)
     place = {s: j for j, s in enumerate(entries)}
-    count, n = np.zeros((len(docs), len(entries))), np.array([len(t.split()) for t, _ in docs])
+    count, n = np.zeros((len(docs), len(entries)), np.float32), np.array([len(t.split()) for t, _ in docs])
     for i, (t, _) in enumerate(docs):
         for start, end, _ in lex.hits(t):
             count[i, place[f" {t} "[start + 1 : end + 1]]] += 1
     best, test = None, np.arange(len(docs)) % 5 == 4
+    scaled = lambda power, scale, rows: count[rows] * (scale / (n[rows] + 20.0) ** power)[:, None]
     for power in (0.25, 0.5, 0.75, 1.0):
         scale = float(np.mean((n + 20.0) ** power))
-        x = count * (scale / (n + 20.0) ** power)[:, None]
-        beta = _logistic(x[~test], y[~test])
-        p = np.clip(1 / (1 + np.exp(-np.clip(x[test] @ beta[:-1] + beta[-1], -30, 30))), 1e-9, 1 - 1e-9)
+        beta = _logistic(scaled(power, scale, ~test), y[~test])
+        p = np.clip(1 / (1 + np.exp(-np.clip(scaled(power, scale, test) @ beta[:-1] + beta[-1], -30, 30))), 1e-9, 1 - 1e-9)
         loss = -np.mean(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p))
         if best is None or loss < best[0]:
-            best = (loss, power, scale, x)
-    _, power, scale, x = best
-    beta = _logistic(x, y)
+            best = (loss, power, scale)
+    _, power, scale = best
+    beta = _logistic(scaled(power, scale, slice(None)), y)
     return Lexicon({s: float(w) for s, w in zip(entries, beta) if w > 0.01}, lex.exceptions, power, scale, float(beta[-1]))
 
 
