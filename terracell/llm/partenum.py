@@ -52,6 +52,8 @@ FLUSH, BUCKET, SEEN = 1 << 18, 1 << 17, 1 << 17
 SHORT = 32
 #: Further centers of a signature that all its classes are compared with before sets are taken apart.
 CENTERS = 3
+#: Members of a star up to which its pairs are listed one by one.
+DIRECT = 64
 #: Repeated rows of sets up to which their numbers are broadcast.
 AGAIN = 1 << 17
 #: Bits of the Bloom filter for each element, the least and the most of them, its hashes, bins of a sketch.
@@ -458,7 +460,8 @@ def partnered(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that may be similar though stars left them in different components.
 
-    Members of a star (those of :func:`partnered`) are compared by what sets them apart from what most of them hold. A member
+    Of a star with no more than ``DIRECT`` members (those of :func:`partnered`) all pairs whose sizes allow it are listed,
+    fewer than ``DIRECT`` rows a member. Members of larger stars are compared by what sets them apart from what most of them hold. A member
     has ``a`` elements that this reference lacks and lacks ``r`` of it, and at most ``alone``
     of its elements are missing in a similar set. A pair with at most ``k`` differences shares an
     added element (kind 0; one of the rarest ``alone + 1`` of each), or ``a <= alone`` in both and
@@ -472,7 +475,12 @@ def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     rooted = rooted.select("a", F.col("b").alias("cls"), F.coalesce("b_root", "b").alias("root"), (F.coalesce("b_root", "b") != F.coalesce("a_root", "a")).alias("apart"))
     rooted = materialise(rooted, "jaccard-rooted")
     groups = rooted.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("some")).where("n > 1 and some")
-    members = rooted.join(groups.select("a", "n"), "a").join(sets.select("cls", "shingles"), "cls")
+    small = rooted.join(groups.where(F.col("n") <= DIRECT).select("a"), "a").join(sets.select("cls", F.size("shingles").alias("size")), "cls")
+    small = materialise(small, "jaccard-small")
+    x = small.where("apart").select("a", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size")))
+    sizes = (100 * F.col("x_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("x_size"))
+    direct = x.join(small, "a").where((F.col("x_root") != F.col("root")) & sizes).select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b"))
+    members = rooted.join(groups.where(F.col("n") > DIRECT).select("a", "n"), "a").join(sets.select("cls", "shingles"), "cls")
     members = materialise(members, "jaccard-apart")
     counts = members.select("a", "n", F.explode("shingles").alias("g")).groupBy("a", "n", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     counts = materialise(counts, "jaccard-counts")
@@ -505,10 +513,10 @@ def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     least = (F.col("x_added") + F.col("added") + F.col("x_lacking") + F.col("lacking") - k) / 2 - F.least("x_lacking", "lacking")
     left = 1 + F.least(F.col("x_added") - F.col("x_at"), F.col("added") - F.col("at"))
     fits = F.when(F.col("kind") == 0, left >= least).otherwise(F.abs(F.col("x_lacking") - F.col("lacking")) + F.col("x_added") + F.col("added") <= k)
-    sizes = (100 * F.col("x_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("x_size"))
     pairs = x.join(keyed, ["a", "kind", "g"]).where((F.col("x_root") != F.col("root")) & sizes & fits)
-    found = materialise(pairs.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b")).distinct(), "jaccard-rest")
-    discard(keyed)
+    pairs = pairs.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b"))
+    found = materialise(pairs.unionByName(direct).distinct(), "jaccard-rest")
+    discard(keyed, small)
     return found
 
 
