@@ -16,7 +16,7 @@ with the domain parted anew; only in the last of ``LEVELS`` ways are empty proje
 Sets that are equal become one class. Classes that share a signature are candidates. The class of
 each signature that shares most signatures is compared with all others first, which makes stars.
 Members that share a signature with a member that this left in another component are then compared with those
-of their star that :func:`remaining` can't tell apart from them. Comparisons read whole sets,
+that :func:`remaining` can't tell apart from them. Comparisons read whole sets,
 so no link between different sets is missed and none is made up; pairs inside a component that
 already holds together are not listed.
 
@@ -36,7 +36,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
@@ -58,6 +57,8 @@ DIRECT = 64
 AGAIN = 1 << 17
 #: Bits of the Bloom filter for each element, the least and the most of them, its hashes, bins of a sketch.
 BLOOM_EACH, BLOOM_LEAST, BLOOM_MOST, BLOOM_HASHES, SKETCH = 16, 1 << 20, 1 << 28, 4, 512
+#: Least and most buckets in which the elements of members are counted.
+COUNTS_LEAST, COUNTS_MOST = 1 << 16, 1 << 24
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -301,13 +302,13 @@ def _set_job(gram: int, filter_words):
                 sketches = [np.minimum(np.bincount((value[bounds[r] : bounds[r + 1]] >> np.uint64(7)) % np.uint64(SKETCH), minlength=SKETCH), 127).astype(np.int8).tobytes() for r in rows]
                 ends = np.concatenate([[0], bounds[1:][rows]])
                 sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _long(value))
-                yield pa.RecordBatch.from_arrays([_long(cls[rows]), pa.array(sketches, pa.binary()), sets], ["cls", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays([_long(cls[rows]), pa.array(np.diff(bounds)[rows]), pa.array(sketches, pa.binary()), sets], ["cls", "size", "sketch", "shingles"])
 
     return run
 
 
 def shingle_table(wanted: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
-    """``cls, sketch, shingles`` of the classes in ``wanted`` (``cls, doc_id``: a document of each), once each.
+    """``cls, size, sketch, shingles`` of the classes in ``wanted`` (``cls, doc_id``: a document of each), once each.
 
     Texts stay where they are read, and sets are written there: a Bloom filter picks the documents
     that may be wanted before their words are looked at. The few others that it lets through are
@@ -318,7 +319,7 @@ def shingle_table(wanted: DataFrame, docs: DataFrame, gram: int) -> DataFrame:
     words = bloom(wanted)
     full = np.unpackbits(words.view(np.uint8)).mean() > 0.5
     words = docs.sparkSession.sparkContext.broadcast(words)
-    sets = docs.select("doc_id", "text").mapInArrow(_set_job(gram, words), "cls long, sketch binary, shingles array<long>")
+    sets = docs.select("doc_id", "text").mapInArrow(_set_job(gram, words), "cls long, size long, sketch binary, shingles array<long>")
     if full:
         sets = sets.join(wanted, "cls", "left_semi")
     sets = materialise(sets.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
@@ -355,10 +356,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A sketch counts a set's elements in ``SKETCH`` bins. The differences of two sketches are no more
     than those of the sets, so only pairs whose sketches allow it are compared as sets. Sets that are
-    in none of these pairs stay where they are read.
+    in none of these pairs stay where they are read; sizes are columns of their own, as a size taken of
+    ``shingles`` would make the joins before it carry whole sets.
     """
     of = lambda c, these: sets.join(these.select(F.col(c).alias("cls")), "cls", "left_semi")
-    side = lambda c, s, n: of(c, pairs).select(F.col("cls").alias(c), F.col("sketch").alias(s), F.size("shingles").alias(n))
+    side = lambda c, s, n: of(c, pairs).select(F.col("cls").alias(c), F.col("sketch").alias(s), F.col("size").alias(n))
     near = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").where(f"100 * m >= {percent} * n and 100 * n >= {percent} * m")
     near = materialise(near.select("a", "b", "p", "q", "m", "n").mapInArrow(_sketch_job(percent), "a long, b long"), "jaccard-near")
     if near.isEmpty():
@@ -457,18 +459,57 @@ def partnered(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def _buckets(elements: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each element, of ``n`` (a power of two)."""
+    return (textbatch.mix(elements.view(np.uint64) + np.uint64(0x5851F42D4C957F2D)) & np.uint64(n - 1)).astype(np.int32)
+
+
+def _count_job(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, n = np.unique(_buckets(np.asarray(batch.column("shingles").flatten()), buckets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+
+    return run
+
+
+def frequencies(members: DataFrame) -> np.ndarray:
+    """Elements of ``shingles`` in each bucket (1 where there are none); at most ``COUNTS_MOST`` rows reach the driver."""
+    elements = members.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    buckets = min(max(1 << (2 * elements).bit_length(), COUNTS_LEAST), COUNTS_MOST)
+    counts = members.select("shingles").mapInArrow(_count_job(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = counts.where("n > 1").select("bucket", F.least("n", F.lit(65535)).cast("int").alias("n")).toArrow()
+    out = np.ones(buckets, np.uint16)
+    out[np.asarray(counts.column("bucket"))] = np.asarray(counts.column("n")).astype(np.uint16)
+    return out
+
+
+def _rare_job(percent: int, counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often_of = counts.value
+        for batch in batches:
+            sets = batch.column("shingles")
+            size, g = np.asarray(sets.value_lengths()).astype(np.int64), np.asarray(sets.flatten())
+            row = np.repeat(np.arange(len(size)), size)
+            often = often_of[_buckets(g, len(often_of))]
+            order = np.lexsort((g, often, row))
+            at = 1 + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            keep = (at <= (100 - percent) * size[row] // 100 + 1) & (often[order] > 1)
+            mine = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column("cls").take(mine), batch.column("root").take(mine), pa.array(size[row[keep]]), pa.array(g[order][keep]), pa.array(at[keep])], ["cls", "root", "size", "g", "at"])
+
+    return run
+
+
 def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that may be similar though stars left them in different components.
 
     Of a star with no more than ``DIRECT`` members (those of :func:`partnered`) all pairs whose sizes allow it are listed,
-    fewer than ``DIRECT`` rows a member. Members of larger stars are compared by what sets them apart from what most of them hold. A member
-    has ``a`` elements that this reference lacks and lacks ``r`` of it, and at most ``alone``
-    of its elements are missing in a similar set. A pair with at most ``k`` differences shares an
-    added element (kind 0; one of the rarest ``alone + 1`` of each), or ``a <= alone`` in both and
-    ``|r - r*| + a + a* <= k``. In that case, if
-    ``a + r > k``, both lack some same element, and ``r* > a*`` (kind 1); members with
-    ``a + r <= k`` that are apart from a center near to the reference are few, and are compared
-    with all that keep to the bound (kind 2).
+    fewer than ``DIRECT`` rows a member. Members of larger stars are taken once each, however many stars they are
+    in. A similar set lacks at most ``100 - percent`` of a member's elements, so of two similar ones each holds some
+    same element among that many and one more, in any order of all elements: here those of rare buckets
+    come first. The elements before a shared one tell how many can be common. Of the members that have an
+    element, those of the component that most are in are not compared with each other.
     """
     roots = found.select(F.col("node").alias("cls"), "root")
     rooted = live.join(roots.select(F.col("cls").alias("a"), F.col("root").alias("a_root")), "a", "left").join(roots.select(F.col("cls").alias("b"), F.col("root").alias("b_root")), "b", "left")
@@ -478,45 +519,20 @@ def remaining(live: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     small = rooted.join(groups.where(F.col("n") <= DIRECT).select("a"), "a").join(sets.select("cls", F.size("shingles").alias("size")), "cls")
     small = materialise(small, "jaccard-small")
     x = small.where("apart").select("a", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size")))
-    sizes = (100 * F.col("x_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("x_size"))
-    direct = x.join(small, "a").where((F.col("x_root") != F.col("root")) & sizes).select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b"))
-    members = rooted.join(groups.where(F.col("n") > DIRECT).select("a", "n"), "a").join(sets.select("cls", "shingles"), "cls")
-    members = materialise(members, "jaccard-apart")
-    counts = members.select("a", "n", F.explode("shingles").alias("g")).groupBy("a", "n", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    counts = materialise(counts, "jaccard-counts")
-    reference = counts.where("2 * c > n").groupBy("a").agg(F.collect_list("g").alias("most"))
-    m = members.join(reference, "a", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
-    size = F.size("shingles")
-    most_k = F.floor((100 - percent) * (size + F.floor(size * 100 / percent)) / (100 + percent)).cast("int")
-    alone = F.floor((100 - percent) * size / 100).cast("int")
-    m = m.select("a", "cls", "root", "apart", size.alias("size"), most_k.alias("k"), alone.alias("alone"), F.array_except("shingles", "most").alias("plus"), F.array_except("most", "shingles").alias("minus"))
-    m = materialise(m.withColumns({"added": F.size("plus"), "lacking": F.size("minus")}), "jaccard-differences")
-    discard(members)
-    # Of the added elements only the rarest alone + 1 are needed, and only those that another member has too.
-    facts = ["a", "cls", "root", "apart", "size", "k", "alone", "added", "lacking"]
-    plus = m.select(*facts, F.explode("plus").alias("g")).join(counts.where("2 * c <= n").select("a", "g", "c"), ["a", "g"])
-    here = W.partitionBy("a", "cls")
-    plus = plus.withColumn("at", F.col("added") - F.count(F.lit(1)).over(here) + F.row_number().over(here.orderBy("c", "g"))).where("at <= alone + 1")
-    plus = plus.select(*facts, F.lit(0).alias("kind"), "g", F.col("at").cast("int").alias("at"))
-    none = F.array().cast("array<struct<kind:int,g:bigint>>")
-    tokens = lambda kind, array: F.transform(array, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("g")))
-    few = F.when((F.col("added") <= F.col("alone")) & (F.col("apart") | (F.col("lacking") > F.col("added"))), tokens(1, F.col("minus"))).otherwise(none)
-    near = F.when(F.col("added") <= F.col("alone"), tokens(2, F.array(F.lit(0).cast("bigint")))).otherwise(none)
-    other = m.select(*facts, F.explode(F.concat(few, near)).alias("t")).select(*facts, "t.kind", "t.g", F.lit(0).alias("at"))
-    keyed = materialise(plus.unionByName(other), "jaccard-tokens")
-    discard(m, counts, rooted)
-    close = F.col("added") + F.col("lacking") <= F.col("k")
-    x = keyed.where(F.col("apart") & ((F.col("kind") == 0) | (close == (F.col("kind") == 2))))
-    x = x.select("a", "kind", "g", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "added", "lacking", "at")))
-    k = F.floor((100 - percent) * (F.col("x_size") + F.col("size")) / (100 + percent))
-    # Of the added elements a similar pair shares at least `least`; from its first common one on there are as many left in both.
-    least = (F.col("x_added") + F.col("added") + F.col("x_lacking") + F.col("lacking") - k) / 2 - F.least("x_lacking", "lacking")
-    left = 1 + F.least(F.col("x_added") - F.col("x_at"), F.col("added") - F.col("at"))
-    fits = F.when(F.col("kind") == 0, left >= least).otherwise(F.abs(F.col("x_lacking") - F.col("lacking")) + F.col("x_added") + F.col("added") <= k)
-    pairs = x.join(keyed, ["a", "kind", "g"]).where((F.col("x_root") != F.col("root")) & sizes & fits)
+    fits = (F.col("x_root") != F.col("root")) & (100 * F.col("x_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("x_size"))
+    direct = x.join(small, "a").where(fits).select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b"))
+    members = rooted.join(groups.where(F.col("n") > DIRECT).select("a"), "a").select("cls", "root").distinct()
+    members = materialise(members.join(sets.select("cls", "shingles"), "cls"), "jaccard-apart")
+    counts = live.sparkSession.sparkContext.broadcast(frequencies(members))
+    tokens = materialise(members.mapInArrow(_rare_job(percent, counts), "cls long, root long, size long, g long, at long"), "jaccard-tokens")
+    most = tokens.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"))
+    keyed = materialise(tokens.join(most.where("roots > 1").select("g", "most"), "g"), "jaccard-keyed")
+    x = keyed.where("root <> most").select("g", *(F.col(c).alias(f"x_{c}") for c in ("cls", "root", "size", "at")))
+    common = 1 + F.least(F.col("x_size") - F.col("x_at"), F.col("size") - F.col("at"))
+    pairs = x.join(keyed, "g").where(fits & ((100 + percent) * common >= percent * (F.col("x_size") + F.col("size"))))
     pairs = pairs.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b"))
     found = materialise(pairs.unionByName(direct).distinct(), "jaccard-rest")
-    discard(keyed, small)
+    discard(members, tokens, keyed, small, rooted)
     return found
 
 
