@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
-from terracell.llm.shared import arrow_bytes, free_name
+from terracell.llm.shared import arrow_bytes, fitted, free_name
 
 ORDER, SAMPLE, MAX_SAMPLE, MAX_TEXT, UNKNOWN, Z = 4, 800, 8000, 1 << 15, "und", 6.0
 _LETTER: np.ndarray | None = None
@@ -220,17 +220,20 @@ def learn(docs: DataFrame, sample: int = SAMPLE, max_sample: int = MAX_SAMPLE) -
     for lang, count in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / count))).otherwise(share)
     dice = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(dice < share).select("doc_id", "lang", "text").limit(2 * max_sample).collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    fitted: dict[str, list[str]] = {}
+    return fitted(known.where(dice < share).select("doc_id", "lang", "text").limit(2 * max_sample), fit_rows)
+
+
+def fit_rows(rows: list[dict]) -> Models:
+    """Models of four fifths of the rows, calibrated on the others."""
+    samples: dict[str, list[str]] = {}
     kept = []
-    for i, r in enumerate(rows):
+    for i, r in enumerate(sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"]))):
         if i % 5 == 4:
             kept.append(r)
         else:
-            fitted.setdefault(r["lang"], []).append(r["text"])
-    m = fit(fitted)
-    kept = [r for r in kept if r["lang"] in fitted]
+            samples.setdefault(r["lang"], []).append(r["text"])
+    m = fit(samples)
+    kept = [r for r in kept if r["lang"] in samples]
     if kept:
         calibrate(m, [r["text"] for r in kept], [r["lang"] for r in kept])
     else:

@@ -7,11 +7,14 @@ session; only where it is unset (tests, one machine) a temporary folder takes it
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage in a way that survives the loss of any executor, gives the planner the
     true size, and keeps a costly projection from being evaluated for each consumer. Shuffle files
-    of the write go when it ends: nothing reads them again.
+    of the write go when it ends: nothing reads them again. The driver then collects its garbage:
+    Spark lets go of broadcast tables only then, and the heap would grow by them and by dead plans.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -47,6 +51,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    spark._jvm.System.gc()
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found
@@ -74,6 +79,21 @@ def arrow_bytes(spark: SparkSession, limit: int = 4 << 20) -> None:
     spark.conf.set(key, limit)
 
 
+def fitted(rows: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
+    """``fit`` of all rows of a bounded sample, run in one task.
+
+    The driver gets the pickled result only: neither the rows nor what the fit holds beside them.
+    """
+    arrow_bytes(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit([r for b in batches for r in b.to_pylist()])
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])  # a table that is known to be empty has no task
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm import textbatch
-from terracell.llm.shared import arrow_bytes, free_name
+from terracell.llm.shared import arrow_bytes, fitted, free_name
 
 MAX_TOXIC, MAX_CLEAN, MAX_TEXT, MIN_STEM, MAX_STEM, MAX_ENTRIES, MIN_ODDS = 2500, 5000, 1 << 15, 4, 12, 400, 1.2
 #: Characters of other scripts and digits, and the letters they stand for.
@@ -244,8 +244,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     chosen = usable.where(dice < share).limit(2 * (max_toxic + max_clean))
     short = F.coalesce(F.length("text") <= MAX_TEXT, F.lit(True))
     texts = docs.select("doc_id", "text").where(short).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
-    rows = sorted((r["text"] or "", r["toxic"]) for r in texts.limit(2 * (max_toxic + max_clean)).collect())
-    return fit(rows)
+    texts = texts.select("text", "toxic").limit(2 * (max_toxic + max_clean))
+    return fitted(texts, lambda rows: fit(sorted((r["text"] or "", r["toxic"]) for r in rows)))
 
 
 def score_name(docs: DataFrame) -> str:
